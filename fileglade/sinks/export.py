@@ -83,9 +83,8 @@ def export_listing(
     """Write a listing and its manifest; returns the folder of the CSV parts."""
     target = f"{folder.rstrip('/')}/{output_name(path, listing.truncated)}"
     write_csv(listing_export(listing.rows, sort, order), target)
-    manifest(listing.rows, path, listing.total_rows, listing.truncated).write.json(
-        f"{target}.manifest"
-    )
+    described = manifest(listing.rows, path, listing.total_rows, listing.truncated)
+    described.coalesce(1).write.json(f"{target}.manifest")
     return target
 
 

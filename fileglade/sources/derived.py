@@ -8,192 +8,136 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileglade.functions.paths import normalize_prefix, path_prefixes
 from fileglade.schema import CATALOG_SCHEMA
 
 
-def _ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def _whole(number: Column) -> Column:
-    return F.floor(number).cast("bigint")
-
-
-def _days(n: int) -> Column:
-    return F.make_dt_interval(F.lit(n))
-
-
-def _user(key: str) -> Column:
-    return F.concat(F.lit("user"), (F.col(key) % 5).cast("string"))
-
-
-def _padded(key: str, width: int) -> Column:
-    return F.lpad(F.col(key).cast("string"), width, "0")
-
-
-def _path(*parts: str | Column) -> Column:
-    pieces: list[Column] = [F.lit("/")]
-    for part in parts:
-        pieces += [F.lit(part) if isinstance(part, str) else part, F.lit("/")]
-    return F.concat(*pieces)
-
-
-def _rows(table: DataFrame, kind: str, **columns: Column) -> DataFrame:
-    columns = {"element_type": F.lit(kind), "nlinks": F.lit(1).cast("bigint"), **columns}
-    return table.select(*[columns[name].alias(name) for name in CATALOG_SCHEMA.names])
-
-
-def _lineitem(t: DataFrame) -> DataFrame:
-    shipped = F.col("l_shipdate")
-    month = F.lpad(F.month(shipped).cast("string"), 2, "0")
-    return _rows(
-        t,
-        "FILE",
-        parent_path=_path(
-            "lineitem", F.col("l_returnflag"), F.year(shipped).cast("string"), month
-        ),
-        name=F.concat(
-            F.lit("li-"),
-            _padded("l_orderkey", 9),
-            F.lit("-"),
-            F.col("l_linenumber").cast("string"),
-            F.lit("-"),
-            F.col("l_partkey").cast("string"),
-            F.lit(".dat"),
-        ),
-        size=_whole(F.col("l_extendedprice")),
-        used=_whole(F.col("l_quantity")) * 4096,
-        mtime=shipped,
-        atime=shipped + _days(1),
-        owner_name=_user("l_suppkey"),
-        extension=F.lit("dat"),
-    )
-
-
-def _orders(t: DataFrame) -> DataFrame:
-    ordered = F.col("o_orderdate")
-    return _rows(
-        t,
-        "FILE",
-        parent_path=_path("orders", F.col("o_orderstatus"), F.col("o_orderpriority")),
-        name=F.concat(F.lit("o-"), _padded("o_orderkey", 9), F.lit(".csv")),
-        size=_whole(F.col("o_totalprice")),
-        used=_whole(F.col("o_totalprice") / 2),
-        mtime=ordered,
-        atime=ordered + _days(2),
-        owner_name=_user("o_custkey"),
-        extension=F.lit("csv"),
-    )
-
-
-def _documents(t: DataFrame) -> DataFrame:
-    doc, chars = F.col("doc_id"), F.col("n_chars")
-    parent = (
-        F.when(chars % 7 == 0, _path("documents"))
-        .when(chars % 5 == 0, _path("documents", F.col("source")))
-        .otherwise(_path("documents", F.col("source"), F.col("lang")))
-    )
-    return _rows(
-        t,
-        "FILE",
-        parent_path=parent,
-        name=F.concat(F.lit("doc-"), _padded("doc_id", 7), F.lit(".txt")),
-        size=F.when(doc % 17 != 0, chars),
-        used=F.when(doc % 17 != 0, chars * 2),
-        mtime=_ntz("2024-01-01 00:00:00"),
-        atime=F.when(doc % 13 != 0, _ntz("2024-02-01 00:00:00")),
-        owner_name=F.when(doc % 11 != 0, F.lit("user0")),
-        extension=F.lit("txt"),
-    )
-
-
-def _events(t: DataFrame) -> DataFrame:
-    return _rows(
-        t,
-        "FILE",
-        parent_path=_path("events"),
-        name=F.concat(F.lit("ev-"), _padded("event_id", 9), F.lit(".log")),
-        size=_whole(F.col("value") * 1000),
-        used=_whole(F.col("value") * 500),
-        mtime=F.col("ts"),
-        atime=F.col("ts"),
-        owner_name=_user("user_id"),
-        extension=F.lit("log"),
-    )
-
-
-def _parts(t: DataFrame) -> DataFrame:
-    first = F.get(F.array(*[F.lit(c) for c in "=+@-x"]), (F.col("p_partkey") % 5).cast("int"))
-    return _rows(
-        t,
-        "FILE",
-        parent_path=_path("parts"),
-        name=F.concat(first, F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")),
-        size=F.col("p_size").cast("bigint"),
-        used=F.col("p_size").cast("bigint") * 10,
-        mtime=_ntz("2023-01-01 00:00:00"),
-        atime=_ntz("2023-01-02 00:00:00"),
-        owner_name=F.col("p_brand"),
-        extension=F.lit(""),
-    )
-
+# Columns read from each table.
+_TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "documents": "doc_id bigint, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "nation": "n_name string, n_regionkey int",
+}
 
+# What one row of a table stands for, as SQL expressions of the catalog columns.
 _FILE_BRANCHES = {
-    "/lineitem/": ("lineitem", _lineitem),
-    "/orders/": ("orders", _orders),
-    "/documents/": ("documents", _documents),
-    "/events/": ("events", _events),
-    "/parts/": ("part", _parts),
+    "/lineitem/": (
+        "lineitem",
+        {
+            "parent_path": "concat('/lineitem/', l_returnflag, '/', year(l_shipdate), '/', "
+            "lpad(month(l_shipdate), 2, '0'), '/')",
+            "name": "concat('li-', lpad(l_orderkey, 9, '0'), '-', l_linenumber, '-', l_partkey, "
+            "'.dat')",
+            "size": "floor(l_extendedprice)",
+            "used": "floor(l_quantity) * 4096",
+            "mtime": "l_shipdate",
+            "atime": "l_shipdate + interval 1 day",
+            "owner_name": "concat('user', l_suppkey % 5)",
+            "extension": "'dat'",
+        },
+    ),
+    "/orders/": (
+        "orders",
+        {
+            "parent_path": "concat('/orders/', o_orderstatus, '/', o_orderpriority, '/')",
+            "name": "concat('o-', lpad(o_orderkey, 9, '0'), '.csv')",
+            "size": "floor(o_totalprice)",
+            "used": "floor(o_totalprice / 2)",
+            "mtime": "o_orderdate",
+            "atime": "o_orderdate + interval 2 days",
+            "owner_name": "concat('user', o_custkey % 5)",
+            "extension": "'csv'",
+        },
+    ),
+    "/documents/": (
+        "documents",
+        {
+            "parent_path": "case when n_chars % 7 = 0 then '/documents/' "
+            "when n_chars % 5 = 0 then concat('/documents/', source, '/') "
+            "else concat('/documents/', source, '/', lang, '/') end",
+            "name": "concat('doc-', lpad(doc_id, 7, '0'), '.txt')",
+            "size": "if(doc_id % 17 = 0, null, n_chars)",
+            "used": "if(doc_id % 17 = 0, null, n_chars * 2)",
+            "mtime": "timestamp_ntz '2024-01-01 00:00:00'",
+            "atime": "if(doc_id % 13 = 0, null, timestamp_ntz '2024-02-01 00:00:00')",
+            "owner_name": "if(doc_id % 11 = 0, null, 'user0')",
+            "extension": "'txt'",
+        },
+    ),
+    "/events/": (
+        "events",
+        {
+            "parent_path": "'/events/'",
+            "name": "concat('ev-', lpad(event_id, 9, '0'), '.log')",
+            "size": "floor(value * 1000)",
+            "used": "floor(value * 500)",
+            "mtime": "ts",
+            "atime": "ts",
+            "owner_name": "concat('user', user_id % 5)",
+            "extension": "'log'",
+        },
+    ),
+    "/parts/": (
+        "part",
+        {
+            "parent_path": "'/parts/'",
+            "name": "concat(substr('=+@-x', p_partkey % 5 + 1, 1), p_name, '-', p_partkey)",
+            "size": "bigint(p_size)",
+            "used": "bigint(p_size) * 10",
+            "mtime": "timestamp_ntz '2023-01-01 00:00:00'",
+            "atime": "timestamp_ntz '2023-01-02 00:00:00'",
+            "owner_name": "p_brand",
+            "extension": "''",
+        },
+    ),
+}
+_LINKS = {
+    "parent_path": "if(n_regionkey = 0, '/documents/', '/home/links/')",
+    "name": "concat('link-', n_name)",
+    "size": "24L",
+    "used": "0L",
+    "mtime": "timestamp_ntz '2023-01-01 00:00:00'",
+    "atime": "timestamp_ntz '2023-01-01 00:00:00'",
+    "owner_name": "'root'",
+    "extension": "''",
+}
+_DIRECTORY = {
+    "parent_path": "substr(path, 1, length(path) - length(label) - 1)",
+    "name": "label",
+    "size": "4096L",
+    "used": "4096L",
+    "mtime": "timestamp_ntz '2023-06-01 00:00:00'",
+    "atime": "timestamp_ntz '2023-06-01 00:00:00'",
+    "owner_name": "'root'",
+    "extension": "''",
 }
 _LINK_FOLDERS = ("/documents/", "/home/links/")
 _BARE_DIRECTORIES = ("/home/links/", "/home/empty/", "/lineitem/empty/", "/lineitemX/")
 
 
-def _links(nation: DataFrame) -> DataFrame:
-    return _rows(
-        nation,
-        "SYMLINK",
-        parent_path=F.when(F.col("n_regionkey") == 0, F.lit("/documents/")).otherwise(
-            F.lit("/home/links/")
-        ),
-        name=F.concat(F.lit("link-"), F.col("n_name")),
-        size=F.lit(24).cast("bigint"),
-        used=F.lit(0).cast("bigint"),
-        mtime=_ntz("2023-01-01 00:00:00"),
-        atime=_ntz("2023-01-01 00:00:00"),
-        owner_name=F.lit("root"),
-        extension=F.lit(""),
-    )
+def _rows(table: DataFrame, kind: str, columns: dict[str, str], nlinks: int = 1) -> DataFrame:
+    columns = {**columns, "element_type": f"'{kind}'", "nlinks": f"{nlinks}L"}
+    return table.selectExpr(*[f"{columns[name]} as {name}" for name in CATALOG_SCHEMA.names])
 
 
 def _directory_rows(parents: DataFrame) -> DataFrame:
     """DIR rows for the given directories and all above them, the root apart."""
-    path = F.col("path")
     paths = (
         parents.distinct()
         .select(F.explode(path_prefixes(F.col("parent_path"))).alias("path"))
-        .where(path != "/")
+        .where("path <> '/'")
         .distinct()
+        .selectExpr("path", "substring_index(rtrim('/', path), '/', -1) as label")
     )
-    label = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
-    stamp = _ntz("2023-06-01 00:00:00")
-    return _rows(
-        paths,
-        "DIR",
-        parent_path=F.substr(path, F.lit(1), F.length(path) - F.length(label) - 1),
-        name=label,
-        size=F.lit(4096).cast("bigint"),
-        used=F.lit(4096).cast("bigint"),
-        mtime=stamp,
-        atime=stamp,
-        owner_name=F.lit("root"),
-        extension=F.lit(""),
-        nlinks=F.lit(2).cast("bigint"),
-    )
+    return _rows(paths, "DIR", _DIRECTORY, nlinks=2)
 
 
 def derived_catalog(spark: SparkSession, tables: str, under: str = "/") -> DataFrame:
@@ -204,9 +148,13 @@ def derived_catalog(spark: SparkSession, tables: str, under: str = "/") -> DataF
         return root.startswith(scope) or scope.startswith(root)
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{tables.rstrip('/')}/{name}.parquet")
+        return spark.read.schema(_TABLES[name]).parquet(f"{tables.rstrip('/')}/{name}.parquet")
 
-    files = [build(table(t)) for root, (t, build) in _FILE_BRANCHES.items() if touches(root)]
+    files = [
+        _rows(table(name), "FILE", columns)
+        for root, (name, columns) in _FILE_BRANCHES.items()
+        if touches(root)
+    ]
     bare = [p for p in _BARE_DIRECTORIES if touches(p) or touches(f"/{p.split('/')[1]}/")]
     parents = [f.select("parent_path") for f in files]
     if bare:
@@ -214,7 +162,7 @@ def derived_catalog(spark: SparkSession, tables: str, under: str = "/") -> DataF
         parents.append(spark.range(1).select(F.explode(literal).alias("parent_path")))
     branches = files
     if any(touches(p) for p in _LINK_FOLDERS):
-        branches = [*branches, _links(table("nation"))]
+        branches = [*branches, _rows(table("nation"), "SYMLINK", _LINKS)]
     if parents:
         branches = [*branches, _directory_rows(functools.reduce(DataFrame.unionAll, parents))]
     if not branches:
