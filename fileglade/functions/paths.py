@@ -23,22 +23,39 @@ def slug(path: str) -> str:
     return normalize_prefix(path).strip("/").replace("/", "_") or "root"
 
 
-def group_key(parent_path: Column, prefix: str | Column, depth: int | Column) -> Column:
+def leading_components(parent_path: Column, prefix: str | Column, depth: int | Column) -> Column:
+    """What stands before the ``depth``-th slash below ``prefix``: the group key of most paths."""
+    start = F.lit(len(prefix) + 1) if isinstance(prefix, str) else F.length(prefix) + 1
+    levels = F.lit(depth) if isinstance(depth, int) else depth
+    below = F.substr(parent_path, start)
+    return F.call_function("substring_index", below, F.lit("/"), levels)
+
+
+def group_key(
+    parent_path: Column,
+    prefix: str | Column,
+    depth: int | Column,
+    leading: Column | None = None,
+) -> Column:
     """First ``depth`` components of ``parent_path`` below ``prefix``; ``.`` if there are none.
 
-    ``substring_index`` works on the UTF-8 bytes and stays inside whole-stage codegen, which a
-    ``split`` with an array lambda does not. Only paths with empty components pay for the regex.
+    ``leading_components`` is the answer unless it is blank or has a slash too many (a file above
+    that depth, an empty component); only then the path is cleaned. Give it as a column of its own
+    to have it computed once per row. All of it works on UTF-8 bytes inside whole-stage codegen.
     """
     start = F.lit(len(prefix) + 1) if isinstance(prefix, str) else F.length(prefix) + 1
     levels = F.lit(depth) if isinstance(depth, int) else depth
+    slash = F.lit("/")
+    if leading is None:
+        leading = leading_components(parent_path, prefix, depth)
+    clean = (leading != "") & ~F.endswith(leading, slash)
+    if not isinstance(depth, int) or depth > 1:
+        clean = clean & ~F.startswith(leading, slash) & ~F.contains(leading, F.lit("//"))
     below = F.substr(parent_path, start)
-    single = F.when(F.contains(below, F.lit("//")), F.regexp_replace(below, "/+", "/")).otherwise(
-        below
-    )
-    key = F.call_function(
-        "substring_index", F.btrim(single, F.lit("/")), F.lit("/"), levels
-    )
-    return F.when(key == "", F.lit(".")).otherwise(key)
+    single = F.when(F.contains(below, F.lit("//")), F.regexp_replace(below, "/+", "/"))
+    whole = F.btrim(single.otherwise(below), slash)
+    cut = F.call_function("substring_index", whole, slash, levels)
+    return F.when(clean, leading).when(cut == "", F.lit(".")).otherwise(cut)
 
 
 def child_path(parent_path: Column, name: Column) -> Column:

@@ -111,14 +111,15 @@ def open_listing(
 ) -> Listing:
     """Count one directory and cap it in name order.
 
-    The cap is a cut-off name, found by counting ranges, and so a plain filter that the scan
-    takes: no ordered limit of ``cap`` rows per task is ever built. Directories within the cap
-    are counted once and left alone.
+    The cap is a cut-off name, found by counting, and so a plain filter that the scan takes: no
+    ordered limit of ``cap`` rows per task is ever built. Directories within the cap are counted
+    once and left alone.
     """
     rows = directory_rows(catalog, path, element, name_contains)
     counts = type_counts(rows).first()
     truncated = counts["total_rows"] > cap
     if truncated:
-        rows = rows.where(F.col("name") <= nth_smallest(rows, "name", cap))
+        last = nth_smallest(rows, "name", cap, counts["total_rows"])
+        rows = rows.where(F.col("name") <= last)
         counts = type_counts(rows).first()
     return Listing(rows=rows, truncated=truncated, **counts.asDict())

@@ -2,48 +2,55 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SMALL = 100_000
-_RANGES = 200
+_PICKS = 10_000
 _SALTS = 64
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def nth_smallest(rows: DataFrame, key: str, n: int, small: int = _SMALL, ranges: int = _RANGES):
-    """Exact ``n``-th smallest value (from 1) of a non-null key.
+def nth_smallest(
+    rows: DataFrame, key: str, n: int, total: int, small: int = _SMALL, picks: int = _PICKS
+):
+    """Exact ``n``-th smallest value (from 1) of a non-null key with few repetitions.
 
-    Counts the key by range, keeps the range that holds the ``n``-th row and goes on inside it
-    until it is small. Every pass narrows the scan with a pushed range filter and brings one row
-    per range to the driver; a large sorted prefix never meets in one task.
+    A few thousand sampled keys only suggest where to look: two of them enclose the place, counting
+    tells how many rows lie before and between, and the search goes on in the part that holds the
+    ``n``-th row. Nothing is shuffled; each pass narrows the scan with a pushed range filter, and
+    what is sorted in the end is small.
     """
-    window = rows.select(key)
-    previous = None
-    while True:
-        spread = (
-            window.repartitionByRange(ranges, key)
-            .groupBy(F.spark_partition_id().alias("part"))
-            .agg(
-                F.count(F.lit(1)).alias("held"),
-                F.min(key).alias("first"),
-                F.max(key).alias("last"),
-            )
-        )
-        found = None
-        for part in sorted(spread.collect(), key=lambda r: r["part"]):
-            if n <= part["held"]:
-                found = part
-                break
-            n -= part["held"]
-        if found is None:
-            raise ValueError("fewer rows than the requested position")
-        if found["first"] == found["last"]:
-            return found["first"]
-        window = rows.select(key).where(F.col(key).between(found["first"], found["last"]))
-        if found["held"] <= small or found["held"] == previous:
-            return window.orderBy(key).offset(n - 1).limit(1).first()[key]
-        previous = found["held"]
+    if not 1 <= n <= total:
+        raise ValueError("fewer rows than the requested position")
+    window, column, size, seed = rows.select(key), F.col(key), total, 0
+    while size > small:
+        seed += 1
+        share = min(1.0, picks / size)
+        picked = sorted(r[0] for r in window.sample(fraction=share, seed=seed).collect())
+        if not picked:
+            continue
+        at = len(picked) * n / size
+        slack = 4 * math.sqrt(at * max(1 - n / size, 0)) + 2
+        low = picked[max(int(at - slack), 0)]
+        high = picked[min(int(at + slack), len(picked) - 1)]
+        upto_low, upto_high = window.agg(
+            F.count_if(column <= low), F.count_if(column <= high)
+        ).first()
+        if n <= upto_low:
+            window, held = window.where(column <= low), upto_low
+        elif n <= upto_high:
+            window = window.where((column > low) & (column <= high))
+            n, held = n - upto_low, upto_high - upto_low
+        else:
+            window = window.where(column > high)
+            n, held = n - upto_high, size - upto_high
+        if held == size:
+            break
+        size = held
+    return window.orderBy(key).offset(n - 1).limit(1).first()[key]
 
 
 def first_per_group(

@@ -9,9 +9,16 @@ import os.path
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fileglade.functions.paths import child_path, group_key, normalize_prefix, path_prefixes
+from fileglade.functions.paths import (
+    child_path,
+    group_key,
+    leading_components,
+    normalize_prefix,
+    path_prefixes,
+)
 from fileglade.functions.text import human_size, iso_time
 from fileglade.schema import ROLLUP_CHILDREN, ROLLUP_MAX_DEPTH, ROLLUP_MAX_GROUPS
+from fileglade.sources.catalog import child_directories, subtree_files
 
 
 class RollupTooWide(RuntimeError):
@@ -32,57 +39,55 @@ def check_request(path: str, depth: int, allow_root: bool = False) -> str:
     return prefix
 
 
-def _statistics():
-    is_file = F.col("_is_file")
+_MEASURES = ["file_count", "total_bytes", "total_used", "mtime", "atime"]
 
-    def of_files(column):
-        return F.when(is_file, F.col(column))
 
-    return [
-        F.count_if(is_file).alias("file_count"),
-        F.coalesce(F.sum(of_files("size")), F.lit(0)).alias("total_bytes"),
-        F.coalesce(F.sum(of_files("used")), F.lit(0)).alias("total_used"),
-        F.max(of_files("mtime")).alias("mtime"),
-        F.max(of_files("atime")).alias("atime"),
-    ]
+def _measured(files: DataFrame, *keys: str | Column) -> DataFrame:
+    """File rows as groups of one, ready to merge. A file of unknown size is still a file."""
+    return files.select(
+        *keys,
+        F.lit(1).cast("bigint").alias("file_count"),
+        F.col("size").alias("total_bytes"),
+        F.col("used").alias("total_used"),
+        "mtime",
+        "atime",
+    )
+
+
+def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups by ``keys``. Every measure merges, so partial results combine before a shuffle."""
+    return parts.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _MEASURES[:3]],
+        *[F.max(c).alias(c) for c in _MEASURES[3:]],
+    )
 
 
 def rollup_groups(
     catalog: DataFrame, prefix: str, depth: int = 1, observation: Observation | None = None
 ) -> DataFrame:
-    """Per-group totals in one scan and one shuffle.
+    """Per-group totals with one shuffle.
 
-    The child directories that seed empty groups ride along in the same scan, with their name as
-    key and nothing to add. Partial aggregation leaves one row per task and group, so a prefix
-    with most of the files is no hot spot. At any depth the seeds are immediate child names.
+    The big scan covers files only and never reads their names. The child directories that seed
+    empty groups come from a second scan, by equality on the directory, which a path-sorted table
+    answers from a few pages; they join the same aggregation as groups of nothing. Partial
+    aggregation leaves one row per task and group, so a prefix with most of the files is no hot
+    spot. At any depth the seeds are immediate child names.
     """
-    is_file = F.col("element_type") == "FILE"
-    below = F.col("parent_path").startswith(prefix)
-    seed = (F.col("element_type") == "DIR") & (F.col("parent_path") == prefix)
-    rows = catalog.where((is_file & below) | seed)
+    files = subtree_files(catalog, prefix)
     if observation is not None:
-        rows = rows.observe(observation, F.count_if(is_file).alias("rows_scanned"))
-    key = F.when(is_file, group_key(F.col("parent_path"), prefix, depth)).otherwise(F.col("name"))
-    keyed = rows.select(
-        key.alias("name"), is_file.alias("_is_file"), "size", "used", "mtime", "atime"
-    )
-    return keyed.groupBy("name").agg(*_statistics())
+        files = files.observe(observation, F.count(F.lit(1)).alias("rows_scanned"))
+    parent = F.col("parent_path")
+    leading = files.withColumn("_leading", leading_components(parent, prefix, depth))
+    key = group_key(parent, prefix, depth, F.col("_leading")).alias("name")
+    seeds = child_directories(catalog, prefix)
+    parts = _measured(leading, key).unionByName(seeds, allowMissingColumns=True)
+    return _merged(parts, ["name"])
 
 
 def directory_totals(catalog: DataFrame) -> DataFrame:
-    """Totals of the files directly in each directory: the mergeable first step of many rollups."""
-    files = catalog.where(F.col("element_type") == "FILE").withColumn("_is_file", F.lit(True))
-    return files.groupBy("parent_path").agg(*_statistics())
-
-
-def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    return parts.groupBy(*keys).agg(
-        F.coalesce(F.sum("file_count"), F.lit(0)).alias("file_count"),
-        F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("total_bytes"),
-        F.coalesce(F.sum("total_used"), F.lit(0)).alias("total_used"),
-        F.max("mtime").alias("mtime"),
-        F.max("atime").alias("atime"),
-    )
+    """Totals of the files directly in each directory: the first step of many rollups at once."""
+    files = catalog.where(F.col("element_type") == "FILE")
+    return _merged(_measured(files, "parent_path"), ["parent_path"])
 
 
 def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileglade.functions.paths import normalize_prefix
@@ -145,15 +145,15 @@ class CatalogBrowser:
         """Compute a rollup with one scan of the subtree. Raises RollupTooWide."""
         prefix = ru.check_request(path, depth, self.allow_root)
         catalog, snapshot = self._catalog()
-        progress = Observation()
-        grouped = ru.rollup_groups(catalog, prefix, depth, progress)
+        grouped = ru.rollup_groups(catalog, prefix, depth)
         groups = materialised(grouped.limit(self.max_groups + 1), self.spark)
-        count = groups.count()
-        if count > self.max_groups:
+        seen = groups.agg(
+            F.count(F.lit(1)).alias("children"),
+            F.coalesce(F.sum("file_count"), F.lit(0)).alias("rows"),
+        ).first()
+        if seen["children"] > self.max_groups:
             raise ru.RollupTooWide(ru.too_wide_message(self.max_groups))
-        return RollupResult(
-            prefix, depth, snapshot, groups, progress.get["rows_scanned"], count
-        )
+        return RollupResult(prefix, depth, snapshot, groups, seen["rows"], seen["children"])
 
     def export_listing(
         self,

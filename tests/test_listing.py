@@ -138,17 +138,19 @@ def test_entries_format_times(make):
 
 
 @pytest.mark.parametrize("n", [1, 2, 499, 500, 501, 2999, 3000])
-def test_nth_smallest_narrows_exactly(flat, n):
+@pytest.mark.parametrize("picks", [3, 40, 100_000])
+def test_nth_smallest_narrows_exactly(flat, n, picks):
     rows = flat.where((F.col("parent_path") == "/big/") & (F.col("element_type") == "FILE"))
-    assert nth_smallest(rows, "name", n, small=20, ranges=7) == f"f{n - 1:05d}.dat"
+    got = nth_smallest(rows, "name", n, total=3000, small=20, picks=picks)
+    assert got == f"f{n - 1:05d}.dat"
 
 
 def test_nth_smallest_with_repeated_keys(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, "m").otherwise("z").alias("k"))
-    assert nth_smallest(rows, "k", 900, small=10, ranges=4) == "m"
-    assert nth_smallest(rows, "k", 901, small=10, ranges=4) == "z"
+    for n, value in ((1, "m"), (900, "m"), (901, "z"), (1000, "z")):
+        assert nth_smallest(rows, "k", n, total=1000, small=10, picks=50) == value
     with pytest.raises(ValueError):
-        nth_smallest(rows, "k", 1001, small=10, ranges=4)
+        nth_smallest(rows, "k", 1001, total=1000)
 
 
 @pytest.mark.parametrize("threshold", [1000, 2])

@@ -28,12 +28,15 @@ def test_subtree_scan_is_pushed_down(stored):
     assert "owner_name" not in text.split("ReadSchema")[1]
 
 
-def test_rollup_is_one_scan_and_one_shuffle(stored):
+def test_rollup_has_one_shuffle_and_reads_no_file_names(stored):
     groups = R.rollup_groups(stored, "/lineitem/", 2)
     text = plan(R.children(groups))
-    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
-    assert "partial_sum" in text and "StringStartsWith(parent_path,/lineitem/)" in text
-    assert "TakeOrderedAndProject" in text
+    assert text.count("Exchange") == 1 and "Join" not in text
+    assert "partial_sum" in text and "TakeOrderedAndProject" in text
+    files, seeds = text.split("FileScan")[1:]
+    assert "StringStartsWith(parent_path,/lineitem/)" in files
+    assert "EqualTo(parent_path,/lineitem/)" in seeds and "EqualTo(element_type,DIR)" in seeds
+    assert "name" not in files.split("ReadSchema: ")[1].split(">")[0]
 
 
 def test_many_rollups_scan_files_once_and_join_by_equality(stored):
