@@ -60,7 +60,7 @@ def main() -> None:
 
     def ready_listings():
         reached = hierarchy.frontier(catalog(), wanted, 1)
-        ready.add(catalog(), hierarchy.capped_frontier(reached), NEWER, 500, "bench")
+        ready.add(catalog(), hierarchy.capped_frontier(reached), NEWER, "bench")
 
     def page(browser, path, **request):
         return lambda: browser.listing(path, **request).entries.collect()

@@ -31,12 +31,12 @@ def directories(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_root(path: Column, roots: list[str]) -> Column:
-    """The longest root that contains the path. Any chain from a farther root runs through it."""
-    nearest = F.lit(None).cast("string")
-    for root in sorted(roots, key=len):
-        nearest = F.when(path.startswith(root), F.lit(root)).otherwise(nearest)
-    return nearest
+def _by_nearest_root(parent_path: Column, values: dict[str, str | int]) -> Column:
+    """Value of the longest root that contains a directory."""
+    chosen = F.lit(None)
+    for root in sorted(values, key=len):
+        chosen = F.when(parent_path.startswith(root), F.lit(values[root])).otherwise(chosen)
+    return chosen
 
 
 def frontier(catalog: DataFrame, roots: list[str], depth: int = FRONTIER_DEPTH) -> DataFrame:
@@ -49,16 +49,17 @@ def frontier(catalog: DataFrame, roots: list[str], depth: int = FRONTIER_DEPTH)
     any does the result need joins.
     """
     starts = list(dict.fromkeys(normalize_prefix(r) for r in roots))
-    path, root = F.col("path"), F.col("root")
+    parent = F.col("parent_path")
     pushed = functools.reduce(
-        operator.or_, [F.col("parent_path").startswith(r) for r in starts], F.lit(False)
+        operator.or_, [parent.startswith(r) for r in starts], F.lit(False)
     )
+    above = _by_nearest_root(parent, {r: r.count("/") - 1 for r in starts})
+    level = (component_count(parent) + 1 - above).cast("bigint")
+    # Any chain from a farther root runs through the nearest one; a root below a root is a start.
     below = (
-        directories(catalog.where(pushed))
-        .withColumn("root", _nearest_root(path, starts))
-        .withColumn("level", (component_count(path) - component_count(root)).cast("bigint"))
-        .where((F.col("level") > 0) & (F.col("level") <= depth))
-        .select("path", "root", "level")
+        directories(catalog.where(pushed).where(level <= depth))
+        .where(~F.col("path").isin(starts))
+        .select("path", _by_nearest_root(parent, {r: r for r in starts}).alias("root"), level.alias("level"))
     )
     start_rows = catalog.sparkSession.createDataFrame(
         [(p, 0) for p in starts], "path string, level bigint"

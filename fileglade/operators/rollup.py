@@ -54,8 +54,11 @@ def _measured(files: DataFrame, *keys: str | Column) -> DataFrame:
     )
 
 
-def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups by ``keys``. Every measure merges, so partial results combine before a shuffle."""
+def merge_groups(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Group states merged by ``keys``: sums of counts and bytes, latest times.
+
+    Parts that lack a state (seeds) add nothing. Partial results combine before the shuffle.
+    """
     return parts.groupBy(*keys).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _MEASURES[:3]],
         *[F.max(c).alias(c) for c in _MEASURES[3:]],
@@ -81,13 +84,13 @@ def rollup_groups(
     key = group_key(parent, prefix, depth, F.col("_leading")).alias("name")
     seeds = child_directories(catalog, prefix)
     parts = _measured(leading, key).unionByName(seeds, allowMissingColumns=True)
-    return _merged(parts, ["name"])
+    return merge_groups(parts, ["name"])
 
 
 def directory_totals(catalog: DataFrame) -> DataFrame:
     """Totals of the files directly in each directory: the first step of many rollups at once."""
     files = catalog.where(F.col("element_type") == "FILE")
-    return _merged(_measured(files, "parent_path"), ["parent_path"])
+    return merge_groups(_measured(files, "parent_path"), ["parent_path"])
 
 
 def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFrame:
@@ -115,7 +118,7 @@ def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFram
         .join(targets, "prefix")
     )
     parts = files.unionByName(seeds, allowMissingColumns=True)
-    return _merged(parts, ["prefix", "depth", "name"])
+    return merge_groups(parts, ["prefix", "depth", "name"])
 
 
 def _under_any(prefixes: list[str], pushed: int = 32) -> Column:
@@ -136,7 +139,7 @@ def rollup_all_directories(catalog: DataFrame) -> DataFrame:
     seeds = catalog.where(F.col("element_type") == "DIR").select(
         child_path(F.col("parent_path"), F.col("name")).alias("path")
     )
-    return _merged(files.unionByName(seeds, allowMissingColumns=True), ["path"])
+    return merge_groups(files.unionByName(seeds, allowMissingColumns=True), ["path"])
 
 
 def guarded(groups: DataFrame, max_groups: int = ROLLUP_MAX_GROUPS) -> DataFrame:

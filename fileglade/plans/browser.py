@@ -16,6 +16,7 @@ from fileglade.sinks.export import export_listing, export_rollup
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore, SnapshotWatch
 from fileglade.sources.storage import materialised
+from fileglade.streaming.refresh import SnapshotRefresh
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class CatalogBrowser:
         spark: SparkSession,
         store: SnapshotStore,
         listings: ListingStore | None = None,
+        refresh: SnapshotRefresh | None = None,
         snapshot_prefix: str = "",
         pin: bool = True,
         poll_seconds: float = 60.0,
@@ -103,7 +105,8 @@ class CatalogBrowser:
     ):
         self.spark = spark
         self.store = store
-        self.listings = listings
+        self.listings = listings or (refresh.listings if refresh else None)
+        self.refresh = refresh
         self.allow_root = allow_root
         self.listing_cap = listing_cap
         self.max_groups = max_groups
@@ -118,14 +121,12 @@ class CatalogBrowser:
             self.watch.drop(wanted)
         return catalog, snapshot
 
-    def _open(
-        self, path: str, element: str, name_filter: str
-    ) -> tuple[Listing, str | None]:
+    def _open(self, path: str, type: str, name_filter: str) -> tuple[Listing, str | None]:
         catalog, snapshot = self._catalog()
         if self.listings is not None and snapshot is not None:
             ready = self.listings.directory(snapshot, normalize_prefix(path))
             catalog = catalog if ready is None else ready
-        return open_listing(catalog, path, element, name_filter, self.listing_cap), snapshot
+        return open_listing(catalog, path, type, name_filter, self.listing_cap), snapshot
 
     def listing(
         self,
@@ -134,18 +135,22 @@ class CatalogBrowser:
         page_size: int | None = None,
         sort: str = "name",
         order: str = "asc",
-        element: str = "all",
+        type: str = "all",
         name_filter: str = "",
     ) -> ListingPage:
-        listing, snapshot = self._open(path, element, name_filter)
+        listing, snapshot = self._open(path, type, name_filter)
         rows, at = listing.page(page, page_size, sort, order)
         return ListingPage(normalize_prefix(path), snapshot, entries(rows), at, listing)
 
     def rollup(self, path: str, depth: int = 1) -> RollupResult:
-        """Compute a rollup with one scan of the subtree. Raises RollupTooWide."""
+        """A refreshed rollup if there is one, else one scan of the subtree. Raises RollupTooWide."""
         prefix = ru.check_request(path, depth, self.allow_root)
         catalog, snapshot = self._catalog()
-        grouped = ru.rollup_groups(catalog, prefix, depth)
+        grouped = None
+        if self.refresh is not None and snapshot is not None:
+            grouped = self.refresh.groups(snapshot, prefix, depth)
+        if grouped is None:
+            grouped = ru.rollup_groups(catalog, prefix, depth)
         groups = materialised(grouped.limit(self.max_groups + 1), self.spark)
         seen = groups.agg(
             F.count(F.lit(1)).alias("children"),
@@ -161,10 +166,10 @@ class CatalogBrowser:
         folder: str,
         sort: str = "name",
         order: str = "asc",
-        element: str = "all",
+        type: str = "all",
         name_filter: str = "",
     ) -> str:
-        listing, _ = self._open(path, element, name_filter)
+        listing, _ = self._open(path, type, name_filter)
         return export_listing(listing, path, folder, sort, order)
 
     def export_rollup(self, path: str, folder: str, depth: int = 1) -> str:

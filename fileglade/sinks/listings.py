@@ -11,6 +11,7 @@ from fileglade.schema import CATALOG_SCHEMA
 from fileglade.sources.storage import child_names
 
 _BROADCAST_DIRS = 10_000
+_READY = "snapshot string, path string, part string"
 
 
 class ListingStore:
@@ -35,19 +36,16 @@ class ListingStore:
 
     def ready(self) -> DataFrame:
         """Directories whose listings are complete, by snapshot and part."""
-        schema = "snapshot string, path string, part string"
-        if not child_names(self.spark, f"{self.root}/ready"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(
-            f"{self.root}/ready"
-        )
+        folder = f"{self.root}/ready"
+        if not child_names(self.spark, folder):
+            return self.spark.createDataFrame([], _READY)
+        return self.spark.read.schema(_READY).option("recursiveFileLookup", True).parquet(folder)
 
-    def add(
-        self, catalog: DataFrame, wanted: DataFrame, snapshot: str, max_dirs: int, part: str
-    ) -> None:
-        """Write the listings of ``wanted`` (column ``path``, at most ``max_dirs`` rows).
+    def add(self, catalog: DataFrame, wanted: DataFrame, snapshot: str, part: str) -> None:
+        """Write the listings of the directories in ``wanted`` (column ``path``).
 
-        Writing a part again replaces it.
+        Writing a part again replaces it. The directories still missing are written down first:
+        their count decides whether they may be broadcast, and a retry sees the same ones.
         """
         others = self.ready().where(F.col("part") != part)
         missing = not_yet_materialised(
@@ -59,9 +57,9 @@ class ListingStore:
         missing.select("snapshot", "path", F.lit(part).alias("part")).write.mode(
             "overwrite"
         ).parquet(staged)
-        todo = self.spark.read.schema("snapshot string, path string, part string").parquet(staged)
+        todo = self.spark.read.schema(_READY).parquet(staged)
         paths = todo.select(F.col("path").alias("parent_path"))
-        if max_dirs <= _BROADCAST_DIRS:
+        if todo.count() <= _BROADCAST_DIRS:
             paths = F.broadcast(paths)
         rows = (
             catalog.select(*self.schema.names)

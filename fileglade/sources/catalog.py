@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +15,18 @@ from fileglade.schema import (
 )
 
 
+def catalog_reader(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
+    """Reader with a declared schema; times declared as bigint also accept Parquet nanoseconds."""
+    if any(isinstance(f.dataType, T.LongType) for f in schema if f.name in ("mtime", "atime")):
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.schema(schema)
+
+
 def read_catalog(
     spark: SparkSession, path: str, schema: T.StructType = CATALOG_SCHEMA
 ) -> DataFrame:
-    """The live catalog table. Use CATALOG_SCHEMA_NS for nanosecond Parquet times."""
-    if any(isinstance(f.dataType, T.LongType) for f in schema if f.name in ("mtime", "atime")):
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.schema(schema).parquet(path)
+    """The live catalog table. Use CATALOG_SCHEMA_NS for nanosecond times."""
+    return catalog_reader(spark, schema).parquet(path)
 
 
 def sorted_layout(catalog: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fileglade.schema import CATALOG_SCHEMA, SNAPSHOT_POLL_SECONDS
-from fileglade.sources.catalog import read_catalog, sorted_layout
+from fileglade.sources.catalog import catalog_reader, read_catalog, sorted_layout
 from fileglade.sources.storage import child_names, exists
 
 log = logging.getLogger(__name__)
@@ -57,9 +57,8 @@ class SnapshotStore:
     def publish(self, catalog: DataFrame, name: str) -> None:
         folder = self._folder(name)
         sorted_layout(catalog.select(*self.schema.names)).write.mode("overwrite").parquet(folder)
-        self.spark.range(1).select(F.lit(name).alias("value")).write.mode("append").text(
-            self.announcements
-        )
+        line = self.spark.range(1).coalesce(1).select(F.lit(name).alias("value"))
+        line.write.mode("append").text(self.announcements)
 
     def publish_live(self, catalog: DataFrame) -> None:
         rows = sorted_layout(catalog.select(*self.schema.names))
@@ -84,15 +83,10 @@ class SnapshotStore:
         """
         if snapshot and self.usable(snapshot):
             base = f"{self.root}/snapshots"
-            read_schema = T.StructType([*self.schema.fields, T.StructField("snapshot", T.StringType())])
-            self.spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-            rows = (
-                self.spark.read.schema(read_schema)
-                .option("basePath", base)
-                .parquet(self._folder(snapshot))
-                .where(F.col("snapshot") == snapshot)
-            )
-            return rows, snapshot
+            pinned = T.StructType([*self.schema.fields, T.StructField("snapshot", T.StringType())])
+            reader = catalog_reader(self.spark, pinned).option("basePath", base)
+            rows = reader.parquet(self._folder(snapshot))
+            return rows.where(F.col("snapshot") == snapshot), snapshot
         if snapshot:
             log.warning("snapshot %s unusable; reading the live table", snapshot)
         live = read_catalog(self.spark, f"{self.root}/live", self.schema)

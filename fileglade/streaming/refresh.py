@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fileglade.functions.paths import normalize_prefix
 from fileglade.operators.hierarchy import capped_frontier, frontier
 from fileglade.operators.rollup import rollup_many
 from fileglade.schema import FRONTIER_DEPTH, FRONTIER_MAX_DIRS
@@ -35,7 +36,12 @@ class SnapshotRefresh:
     """
 
     def __init__(
-        self, spark: SparkSession, store: SnapshotStore, root: str, plan: RefreshPlan, shards: int = 64
+        self,
+        spark: SparkSession,
+        store: SnapshotStore,
+        root: str,
+        plan: RefreshPlan,
+        shards: int = 64,
     ):
         self.spark = spark
         self.store = store
@@ -43,9 +49,7 @@ class SnapshotRefresh:
         self.plan = plan
         self.listings = ListingStore(spark, f"{self.root}/listings", shards, store.schema)
 
-    def start(
-        self, checkpoint: str, every: str | None = None
-    ) -> StreamingQuery:
+    def start(self, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """Process what has been announced and stop, or poll, e.g. ``every="60 seconds"``."""
         arrivals = self.spark.readStream.schema("value string").text(self.store.announcements)
         trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -70,14 +74,38 @@ class SnapshotRefresh:
         if self.plan.roots:
             reached = frontier(catalog, self.plan.roots, self.plan.depth)
             wanted = capped_frontier(reached, self.plan.max_dirs)
-            self.listings.add(catalog, wanted, name, self.plan.max_dirs, part="refresh")
-        marker = self.spark.range(1).select(F.lit(name).alias("snapshot"))
+            self.listings.add(catalog, wanted, name, part="refresh")
+        marker = self.spark.range(1).coalesce(1).select(F.lit(name).alias("snapshot"))
         marker.write.mode("overwrite").parquet(f"{self.root}/current/{name}")
 
+    def finished(self) -> list[str]:
+        """Snapshots whose outputs are all written."""
+        return sorted(child_names(self.spark, f"{self.root}/current"))
+
     def current(self) -> str | None:
-        """Newest snapshot whose outputs are all written."""
-        return max(child_names(self.spark, f"{self.root}/current"), default=None)
+        return max(self.finished(), default=None)
 
     def rollups(self) -> DataFrame:
-        """Refreshed rollup groups of all snapshots."""
-        return self.spark.read.parquet(f"{self.root}/rollups")
+        """Refreshed rollup groups of all finished snapshots."""
+        times = {f.name: f.dataType.simpleString() for f in self.store.schema}
+        schema = (
+            "prefix string, depth int, name string, file_count bigint, total_bytes bigint, "
+            f"total_used bigint, mtime {times['mtime']}, atime {times['atime']}, snapshot string"
+        )
+        finished = self.finished()
+        if not finished:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/rollups")
+        return rows.where(F.col("snapshot").isin(finished))
+
+    def groups(self, snapshot: str, prefix: str, depth: int) -> DataFrame | None:
+        """One refreshed rollup, or None if it has to be computed."""
+        kept = {(normalize_prefix(p), d) for p, d in self.plan.rollups}
+        if (prefix, depth) not in kept or snapshot not in self.finished():
+            return None
+        wanted = (
+            (F.col("snapshot") == snapshot)
+            & (F.col("prefix") == prefix)
+            & (F.col("depth") == depth)
+        )
+        return self.rollups().where(wanted).drop("snapshot", "prefix", "depth")

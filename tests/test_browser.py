@@ -30,7 +30,7 @@ def test_listing_request(spark, make, store):
     assert (shown.page.number, shown.page.pages, shown.listing.total_rows) == (2, 2, 31)
     assert shown.listing.total_dirs == 1 and shown.entries.count() == 11
     store.publish(make(files(40)), SECOND)
-    newer = browser.listing("/p/", element="file", name_filter="f03")
+    newer = browser.listing("/p/", type="file", name_filter="f03")
     assert (newer.snapshot, newer.listing.total_rows) == (SECOND, 10)
 
 
@@ -67,17 +67,17 @@ def test_ready_listings_are_used_and_complete(spark, store, tmp_path):
     assert listings.directory(FIRST, "/p/") is None
     catalog, _ = store.read(FIRST)
     wanted = spark.createDataFrame([("/p/",)], "path string")
-    listings.add(catalog, wanted, FIRST, 10, "one")
+    listings.add(catalog, wanted, FIRST, "one")
     ready = listings.directory(FIRST, "/p/")
     assert ready.count() == 31 and listings.directory(FIRST, "/p/sub/") is None
-    shown = browser.listing("/p/", element="file")
+    shown = browser.listing("/p/", type="file")
     assert shown.listing.total_rows == 30
     assert all("ready" in f for f in shown.listing.rows.inputFiles())
     direct = browser.listing("/p/sub/")
     assert direct.listing.total_rows == 1
     more = spark.createDataFrame([("/p/",), ("/p/sub/",)], "path string")
-    listings.add(catalog, more, FIRST, 10, "two")
-    listings.add(catalog, more, FIRST, 10, "two")
+    listings.add(catalog, more, FIRST, "two")
+    listings.add(catalog, more, FIRST, "two")
     assert listings.rows(FIRST).count() == 32
     assert listings.ready().count() == 2
 

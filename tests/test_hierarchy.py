@@ -107,7 +107,7 @@ def test_annotated_listing_states(make):
         rows = A.annotated_listing(page, children, **kw).collect()
         return {r["name"]: (r["rollup_bytes"], r["rollup_state"]) for r in rows}
 
-    assert states(R.children(groups), children_rows=500) == {
+    assert states(R.children(groups)) == {
         "big": (2048, "stats"),
         "small": (10, "stats"),
         "same": (None, None),

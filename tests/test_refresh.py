@@ -1,4 +1,5 @@
 from fileglade.operators.rollup import rollup_groups
+from fileglade.plans.browser import CatalogBrowser
 from fileglade.schema import CATALOG_SCHEMA_NS
 from fileglade.sources.snapshots import SnapshotStore
 from fileglade.streaming.refresh import RefreshPlan, SnapshotRefresh
@@ -41,6 +42,12 @@ def test_refresh_follows_snapshots_and_replays_cleanly(spark, make, tmp_path):
         ready = refresh.listings.directory(name, "/p/a/")
         assert ready.count() == (3 if name == FIRST else 5)
 
+    browser = CatalogBrowser(spark, store, refresh=refresh)
+    kept, direct = browser.rollup("/p"), CatalogBrowser(spark, store).rollup("/p")
+    assert contents(kept.groups) == contents(direct.groups)
+    assert (kept.rows_scanned, kept.snapshot) == (5, SECOND)
+    assert refresh.groups(SECOND, "/p/", 2) is None and refresh.groups("x", "/p/", 1) is None
+
     before = contents(refresh.rollups()), contents(refresh.listings.rows().select("snapshot", "parent_path", "name"))
     run(refresh, tmp_path / "a new checkpoint replays everything")
     after = contents(refresh.rollups()), contents(refresh.listings.rows().select("snapshot", "parent_path", "name"))

@@ -85,6 +85,13 @@ def test_many_rollups_of_one_long_request_list(make):
     assert many.count() == kept.count()
 
 
+def test_merging_group_states(make):
+    one = R.rollup_groups(make(ADMIN[:3]), "/admin/", 1)
+    two = R.rollup_groups(make(ADMIN[3:]), "/admin/", 1)
+    merged = R.merge_groups(one.unionByName(two), ["name"])
+    assert by_name(merged) == by_name(R.rollup_groups(make(ADMIN), "/admin/", 1))
+
+
 def test_all_directories_equal_single_totals(stored):
     every = {r["path"]: r for r in R.rollup_all_directories(stored).collect()}
     for prefix in ("/", "/lineitem/", "/lineitem/A/", "/documents/", "/events/", "/home/empty/"):

@@ -428,7 +428,7 @@ def materialised_listing(spark, tables):
     store = ListingStore(spark, shared_folder(spark), shards=4)
     for part, depth in (("first", 0), ("second", 1)):
         wanted = hierarchy.frontier(source, ["/documents/", "/events/"], depth)
-        store.add(source, hierarchy.capped_frontier(wanted), NEWER, 500, part)
+        store.add(source, hierarchy.capped_frontier(wanted), NEWER, part)
     rows = store.rows(NEWER)
     return rows.select(
         "snapshot", "parent_path", "name", "element_type", "size", "used", "owner_name"
@@ -451,7 +451,7 @@ def listing_annotated(spark, tables):
     k = 12
     top = ru.children(groups, k)
     shown = rows.select("name", "element_type", "size")
-    return annotate.annotated_listing(shown, top, children_truncated=True, children_rows=k)
+    return annotate.annotated_listing(shown, top, children_truncated=True)
 
 
 def tree_annotated(spark, tables):
@@ -459,7 +459,7 @@ def tree_annotated(spark, tables):
     nodes = hierarchy.directories(source).select("path")
     k = 3
     top = ru.children(ru.guarded(ru.rollup_groups(source, "/lineitem/", 1)), k)
-    return annotate.annotated_tree(nodes, top, "/lineitem/", children_rows=k)
+    return annotate.annotated_tree(nodes, top, "/lineitem/")
 
 
 DOCS = "/documents/"
