@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="fileglade-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
@@ -20,8 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that all executors reach")
-        base = tempfile.mkdtemp(prefix="fileglade-")
-        spark.conf.set(_CHECKPOINT_DIR, base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/fileglade-{uuid.uuid4().hex}"
 
 

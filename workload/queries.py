@@ -19,7 +19,7 @@ from fileglade.sources import catalog as cat
 from fileglade.sources import control
 from fileglade.sources.derived import derived_catalog
 from fileglade.sources.snapshots import SnapshotStore, newest_snapshot
-from fileglade.sources.storage import shared_folder
+from fileglade.sources.storage import materialised, shared_folder
 from fileglade.streaming.refresh import RefreshPlan, SnapshotRefresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,13 +71,20 @@ def snapshot_newest(spark, tables):
     return newest_snapshot(names, "files_")
 
 
-def _store(spark: SparkSession, tables: str, newer: bool = True) -> SnapshotStore:
-    """The whole catalog as a snapshot, an older one before data reduction, and the live table."""
+def _written(spark: SparkSession, tables: str) -> DataFrame:
+    """The whole derived catalog, computed once for jobs that read it several times."""
+    return materialised(derived_catalog(spark, tables), spark)
+
+
+def _store(spark: SparkSession, tables: str, newer: bool) -> SnapshotStore:
+    """A snapshot before data reduction, and either a newer one or the live table."""
     store = SnapshotStore(spark, shared_folder(spark))
-    now = derived_catalog(spark, tables)
+    now = _written(spark, tables)
     store.publish(now.withColumn("used", F.col("size")), OLDER)
     if newer:
         store.publish(now, NEWER)
+    else:
+        store.publish_live(now)
     return store
 
 
@@ -90,19 +97,17 @@ def _by_type(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_pinned_read(spark, tables):
-    rows, _ = _store(spark, tables).read(OLDER)
+    rows, _ = _store(spark, tables, newer=True).read(OLDER)
     return _by_type(rows)
 
 
 def snapshot_fallback(spark, tables):
-    store = _store(spark, tables, newer=False)
-    store.publish_live(derived_catalog(spark, tables))
-    rows, _ = store.read(NEWER)
+    rows, _ = _store(spark, tables, newer=False).read(NEWER)
     return _by_type(rows)
 
 
 def snapshot_refresh(spark, tables):
-    store = _store(spark, tables)
+    store = _store(spark, tables, newer=True)
     plan = RefreshPlan(
         rollups=[("/", 1), ("/lineitem/", 2), ("/documents/", 2)], roots=["/documents/"], depth=1
     )
@@ -424,7 +429,7 @@ def frontier_missing(spark, tables):
 
 
 def materialised_listing(spark, tables):
-    source = derived_catalog(spark, tables)
+    source = _written(spark, tables)
     store = ListingStore(spark, shared_folder(spark), shards=4)
     for part, depth in (("first", 0), ("second", 1)):
         wanted = hierarchy.frontier(source, ["/documents/", "/events/"], depth)
