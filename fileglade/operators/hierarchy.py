@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +17,10 @@ from fileglade.schema import (
     FRONTIER_DEPTH,
     FRONTIER_MAX_DIRS,
     PREFETCH_CHILDREN,
+    ROLLUP_MAX_GROUPS,
     TREE_CHILDREN,
 )
+from fileglade.sources.catalog import PUSHED_PREFIXES, under_any
 
 
 def directories(catalog: DataFrame) -> DataFrame:
@@ -39,31 +38,64 @@ def _by_nearest_root(parent_path: Column, values: dict[str, str | int]) -> Colum
     return chosen
 
 
-def frontier(catalog: DataFrame, roots: list[str], depth: int = FRONTIER_DEPTH) -> DataFrame:
-    """Every directory a breadth-first walk reaches from the roots in ``depth`` levels.
-
-    A path carries its own level, so the walk is a filter and not an iteration: the level below
-    the nearest root is the smallest over all roots, and each directory has one row. Roots are
-    level 0 whether or not the catalog knows them. A directory below a missing DIR row is not
-    reached; such gaps are looked for first, with one pre-aggregated pass, and only if there are
-    any does the result need joins.
-    """
-    starts = list(dict.fromkeys(normalize_prefix(r) for r in roots))
+def _below_few(catalog: DataFrame, starts: list[str], depth: int) -> DataFrame:
+    """Directories below some roots, by pushed prefix filters and no join."""
     parent = F.col("parent_path")
-    pushed = functools.reduce(
-        operator.or_, [parent.startswith(r) for r in starts], F.lit(False)
-    )
     above = _by_nearest_root(parent, {r: r.count("/") - 1 for r in starts})
     level = (component_count(parent) + 1 - above).cast("bigint")
-    # Any chain from a farther root runs through the nearest one; a root below a root is a start.
-    below = (
-        directories(catalog.where(pushed).where(level <= depth))
+    return (
+        directories(catalog.where(under_any(starts)).where(level <= depth))
         .where(~F.col("path").isin(starts))
-        .select("path", _by_nearest_root(parent, {r: r for r in starts}).alias("root"), level.alias("level"))
+        .select(
+            "path",
+            _by_nearest_root(parent, {r: r for r in starts}).alias("root"),
+            level.alias("level"),
+        )
     )
+
+
+def _below_many(catalog: DataFrame, starts: list[str], depth: int) -> DataFrame:
+    """The same for many roots: a root in reach is one of the last ``depth`` leading paths, so
+    those meet the roots by equality. Of two prefixes of a path the longer is the greater text."""
+    spark = catalog.sparkSession
+    roots = spark.createDataFrame([(r,) for r in starts], "root string")
+    if len(starts) <= ROLLUP_MAX_GROUPS:
+        roots = F.broadcast(roots)
+    prefixes = path_prefixes(F.col("parent_path"))
+    first = F.greatest(F.size(prefixes) - depth + 1, F.lit(1))
+    found = (
+        directories(catalog.where(under_any(starts)))
+        .select("path", F.explode(F.slice(prefixes, first, F.lit(depth))).alias("root"))
+        .join(roots, "root")
+        .groupBy("path")
+        .agg(F.max("root").alias("root"))
+    )
+    level = component_count(F.col("path")) - component_count(F.col("root"))
+    themselves = roots.withColumnRenamed("root", "path")
+    return found.withColumn("level", level.cast("bigint")).join(themselves, "path", "left_anti")
+
+
+def frontier(
+    catalog: DataFrame,
+    roots: list[str],
+    depth: int = FRONTIER_DEPTH,
+    few: int = PUSHED_PREFIXES,
+) -> DataFrame:
+    """Every directory a breadth-first walk reaches from the roots in ``depth`` levels.
+
+    A path carries its own level, so the walk is a filter and not an iteration: the level below
+    the nearest root is the smallest over all roots, and each directory has one row (any chain
+    from a farther root runs through the nearest). Roots are level 0 whether or not the catalog
+    knows them. A directory below a missing DIR row is not reached; such gaps are looked for
+    first, with one pre-aggregated pass, and only if there are any does the result need joins.
+    """
+    starts = list(dict.fromkeys(normalize_prefix(r) for r in roots))
     start_rows = catalog.sparkSession.createDataFrame(
         [(p, 0) for p in starts], "path string, level bigint"
     )
+    if depth < 1 or not starts:
+        return start_rows
+    below = (_below_few if len(starts) <= few else _below_many)(catalog, starts, depth)
     if depth > 1:
         below = _connected(below)
     return start_rows.unionByName(below.select("path", "level"))

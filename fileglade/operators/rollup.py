@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-import os.path
-
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +14,7 @@ from fileglade.functions.paths import (
 )
 from fileglade.functions.text import human_size, iso_time
 from fileglade.schema import ROLLUP_CHILDREN, ROLLUP_MAX_DEPTH, ROLLUP_MAX_GROUPS
-from fileglade.sources.catalog import child_directories, subtree_files
+from fileglade.sources.catalog import child_directories, subtree_files, under_any
 
 
 class RollupTooWide(RuntimeError):
@@ -104,7 +100,7 @@ def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFram
     targets = spark.createDataFrame(wanted, "prefix string, depth int")
     if len(wanted) <= ROLLUP_MAX_GROUPS:
         targets = F.broadcast(targets)
-    below = catalog.where(_under_any(sorted({p for p, _ in wanted})))
+    below = catalog.where(under_any(sorted({p for p, _ in wanted})))
     files = (
         directory_totals(below)
         .withColumn("prefix", F.explode(path_prefixes(F.col("parent_path"))))
@@ -121,14 +117,6 @@ def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFram
     return merge_groups(parts, ["prefix", "depth", "name"])
 
 
-def _under_any(prefixes: list[str], pushed: int = 32) -> Column:
-    """Row filter for the scan; with many prefixes their common beginning is enough."""
-    tests = prefixes if len(prefixes) <= pushed else [os.path.commonprefix(prefixes)]
-    return functools.reduce(
-        operator.or_, [F.col("parent_path").startswith(p) for p in tests], F.lit(False)
-    )
-
-
 def rollup_all_directories(catalog: DataFrame) -> DataFrame:
     """Recursive totals of every directory in one pass, empty directories included."""
     files = (

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileglade.functions.paths import normalize_prefix
+from fileglade.functions.paths import child_path, normalize_prefix
 from fileglade.operators import rollup as ru
+from fileglade.operators.annotate import annotated_listing
+from fileglade.operators.hierarchy import (
+    capped_frontier,
+    frontier,
+    not_yet_materialised,
+    tree_level,
+)
 from fileglade.operators.listing import Listing, Page, entries, open_listing
-from fileglade.schema import LISTING_CAP, ROLLUP_CHILDREN, ROLLUP_MAX_GROUPS
+from fileglade.schema import (
+    FRONTIER_DEPTH,
+    FRONTIER_MAX_DIRS,
+    LISTING_CAP,
+    PREFETCH_CHILDREN,
+    ROLLUP_CHILDREN,
+    ROLLUP_MAX_GROUPS,
+    TREE_CHILDREN,
+)
 from fileglade.sinks.export import export_listing, export_rollup
 from fileglade.sinks.listings import ListingStore
+from fileglade.sources.catalog import child_directories
 from fileglade.sources.snapshots import SnapshotStore, SnapshotWatch
 from fileglade.sources.storage import materialised
 from fileglade.streaming.refresh import SnapshotRefresh
@@ -142,6 +159,48 @@ class CatalogBrowser:
         rows, at = listing.page(page, page_size, sort, order)
         return ListingPage(normalize_prefix(path), snapshot, entries(rows), at, listing)
 
+    def annotated(
+        self, shown: ListingPage, result: RollupResult | None, child_limit: int | None = None
+    ) -> DataFrame:
+        """A page whose directories carry the totals of a rollup of the same directory."""
+        if result is None:
+            return annotated_listing(shown.entries, None)
+        return annotated_listing(
+            shown.entries, result.children(child_limit), result.children_truncated(child_limit)
+        )
+
+    def tree(self, path: str, n: int = TREE_CHILDREN) -> DataFrame:
+        """First child directories of a directory and how many more there are."""
+        return tree_level(self._catalog()[0], path, n)
+
+    def to_fetch(self, path: str, n: int = PREFETCH_CHILDREN) -> DataFrame:
+        """First child directories of a directory whose listings are not ready yet."""
+        catalog, snapshot = self._catalog()
+        prefix = normalize_prefix(path)
+        children = child_directories(catalog, prefix, n).select(
+            F.lit(snapshot).cast("string").alias("snapshot"),
+            child_path(F.lit(prefix), F.col("name")).alias("path"),
+        )
+        if self.listings is None or snapshot is None:
+            return children
+        return not_yet_materialised(children, self.listings.ready())
+
+    def prepare(
+        self,
+        roots: list[str],
+        depth: int = FRONTIER_DEPTH,
+        max_dirs: int = FRONTIER_MAX_DIRS,
+    ) -> str | None:
+        """Make the listings of a frontier ready for the current snapshot, skipping those that
+        are. Returns the snapshot; None, and nothing done, if reads are not pinned to one."""
+        if self.listings is None:
+            raise ValueError("no listing store given")
+        catalog, snapshot = self._catalog()
+        if snapshot is not None:
+            wanted = capped_frontier(frontier(catalog, roots, depth), max_dirs)
+            self.listings.add(catalog, wanted, snapshot, part=uuid.uuid4().hex)
+        return snapshot
+
     def rollup(self, path: str, depth: int = 1) -> RollupResult:
         """A refreshed rollup if there is one, else one scan of the subtree. Raises RollupTooWide."""
         prefix = ru.check_request(path, depth, self.allow_root)

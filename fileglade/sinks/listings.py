@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fileglade.operators.hierarchy import not_yet_materialised
 from fileglade.schema import CATALOG_SCHEMA
-from fileglade.sources.storage import child_names
+from fileglade.sources.storage import child_names, exists
 
 _BROADCAST_DIRS = 10_000
 _READY = "snapshot string, path string, part string"
@@ -24,7 +24,11 @@ class ListingStore:
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, shards: int = 64, schema: T.StructType = CATALOG_SCHEMA
+        self,
+        spark: SparkSession,
+        root: str,
+        shards: int = 64,
+        schema: T.StructType = CATALOG_SCHEMA,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -47,7 +51,7 @@ class ListingStore:
         Writing a part again replaces it. The directories still missing are written down first:
         their count decides whether they may be broadcast, and a retry sees the same ones.
         """
-        others = self.ready().where(F.col("part") != part)
+        others = self.ready().where((F.col("snapshot") == snapshot) & (F.col("part") != part))
         missing = not_yet_materialised(
             wanted.select(F.lit(snapshot).alias("snapshot"), "path"), others
         )
@@ -58,8 +62,11 @@ class ListingStore:
             "overwrite"
         ).parquet(staged)
         todo = self.spark.read.schema(_READY).parquet(staged)
+        count = todo.count()
+        if count == 0 and not exists(self.spark, record):
+            return
         paths = todo.select(F.col("path").alias("parent_path"))
-        if todo.count() <= _BROADCAST_DIRS:
+        if count <= _BROADCAST_DIRS:
             paths = F.broadcast(paths)
         rows = (
             catalog.select(*self.schema.names)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import os.path
+
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,8 @@ from fileglade.schema import (
     ROLLUP_COLUMNS,
 )
 
+PUSHED_PREFIXES = 32
+
 
 def catalog_reader(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
     """Reader with a declared schema; times declared as bigint also accept Parquet nanoseconds."""
@@ -84,6 +90,17 @@ def subtree_files(
     return catalog.where((F.col("element_type") == "FILE") & below).select(*columns)
 
 
+def under_any(prefixes: list[str]) -> Column:
+    """Row filter for several subtrees, in a form the Parquet reader takes.
+
+    Beyond a few prefixes it is their common beginning: a coarse filter that keeps every wanted
+    row and leaves the exact choice to a join.
+    """
+    tests = prefixes if len(prefixes) <= PUSHED_PREFIXES else [os.path.commonprefix(prefixes)]
+    below = [F.col("parent_path").startswith(p) for p in tests]
+    return functools.reduce(operator.or_, below, F.lit(False))
+
+
 def child_directories(catalog: DataFrame, path: str, limit: int | None = None) -> DataFrame:
     """Names of the immediate child directories, in name order if a limit is set."""
     names = directory_rows(catalog, path, "dir", columns=["name"])

@@ -64,13 +64,16 @@ class SnapshotStore:
         rows = sorted_layout(catalog.select(*self.schema.names))
         rows.write.mode("overwrite").parquet(f"{self.root}/live")
 
-    def names(self, prefix: str = "") -> list[str]:
+    def _published(self, prefix: str) -> list[str]:
         folders = child_names(self.spark, f"{self.root}/snapshots")
         found = [f.removeprefix("snapshot=") for f in folders if f.startswith("snapshot=")]
-        return sorted(n for n in found if n.startswith(prefix) and self.usable(n))
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def names(self, prefix: str = "") -> list[str]:
+        return [n for n in self._published(prefix) if self.usable(n)]
 
     def newest(self, prefix: str = "") -> str | None:
-        return max(self.names(prefix), default=None)
+        return next((n for n in reversed(self._published(prefix)) if self.usable(n)), None)
 
     def usable(self, name: str) -> bool:
         return exists(self.spark, f"{self._folder(name)}/_SUCCESS")

@@ -82,6 +82,28 @@ def test_ready_listings_are_used_and_complete(spark, store, tmp_path):
     assert listings.ready().count() == 2
 
 
+def test_prepare_skips_what_is_ready(spark, store, tmp_path):
+    listings = ListingStore(spark, str(tmp_path / "ready"), 4, CATALOG_SCHEMA_NS)
+    browser = CatalogBrowser(spark, store, listings)
+    assert [r["path"] for r in browser.to_fetch("/p").collect()] == ["/p/sub/"]
+    assert browser.prepare(["/p"], 0) == FIRST
+    assert browser.prepare(["/p"], 1) == FIRST
+    parts = {(r["path"], r["part"]) for r in listings.ready().collect()}
+    assert {p for p, _ in parts} == {"/p/", "/p/sub/"} and len(parts) == 2
+    assert browser.to_fetch("/p").count() == 0
+    unpinned = CatalogBrowser(spark, store, listings, pin=False)
+    assert unpinned.prepare(["/p"]) is None and unpinned.to_fetch("/").count() == 1
+
+
+def test_tree_and_annotated_page(spark, store):
+    browser = CatalogBrowser(spark, store)
+    assert [r["path"] for r in browser.tree("/").collect()] == ["/p/"]
+    shown = browser.listing("/p")
+    rows = browser.annotated(shown, browser.rollup("/p")).where("element_type = 'DIR'").collect()
+    assert [(r["name"], r["rollup_bytes"], r["rollup_state"]) for r in rows] == [("sub", 1000, "stats")]
+    assert browser.annotated(shown, None).where("rollup_state = 'none'").count() == 1
+
+
 def test_exports(spark, store, tmp_path):
     browser = CatalogBrowser(spark, store, listing_cap=5)
     out = browser.export_listing("/p/", str(tmp_path / "out"))

@@ -39,9 +39,18 @@ def levels(frame):
 @pytest.mark.parametrize(
     "roots", [["/projects/"], ["/"], ["/projects/proj-01/", "/projects/", "/projects/"], ["/nix/", "/home/"]]
 )
-def test_frontier_equals_a_walk(make, roots, depth):
+@pytest.mark.parametrize("few", [32, 0])
+def test_frontier_equals_a_walk(make, roots, depth, few):
     rows = project_tree()
-    assert levels(H.frontier(make(rows), roots, depth)) == walk(rows, roots, depth)
+    assert levels(H.frontier(make(rows), roots, depth, few)) == walk(rows, roots, depth)
+
+
+def test_frontier_of_many_roots(make):
+    rows = project_tree()
+    roots = [f"/projects/proj-{i:02d}/" for i in range(12)] + [f"/nix/{i}/" for i in range(40)]
+    roots += ["/projects/", "/projects/proj-03/src/"]
+    for depth in (0, 1, 2):
+        assert levels(H.frontier(make(rows), roots, depth)) == walk(rows, roots, depth)
 
 
 def test_frontier_sizes(make):
@@ -59,8 +68,9 @@ def test_frontier_stops_at_a_missing_directory(make):
         ("/projects/proj-03/src/", "kept", "DIR"),
     ]
     for roots in (["/projects/"], ["/projects/", "/projects/lost/"], ["/projects/", "/projects/lost/deep/"]):
-        for depth in (1, 2, 3):
-            assert levels(H.frontier(make(rows), roots, depth)) == walk(rows, roots, depth)
+        for depth, few in ((1, 32), (2, 32), (3, 32), (3, 0)):
+            got = levels(H.frontier(make(rows), roots, depth, few))
+            assert got == walk(rows, roots, depth)
 
 
 def test_missing_directories(spark, make):

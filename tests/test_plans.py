@@ -83,6 +83,21 @@ def test_no_python_anywhere(stored):
         assert "EvalPython" not in text and "PythonUDF" not in text and "Cartesian" not in text
 
 
+def test_sorted_layout_splits_a_hot_directory(spark):
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 3 = 0, '/hot/', concat('/d', id % 50, '/')) as parent_path",
+        "lpad(id, 8, '0') as name",
+    )
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        parts = C.sorted_layout(rows).where("parent_path = '/hot/'")
+        held = parts.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(held) > 1 and sum(r["count"] for r in held) == 6667
+
+
 @pytest.mark.parametrize("path", ["/events/", "/lineitem/"])
 def test_sorted_layout_keeps_every_row(stored, path):
     laid = C.sorted_layout(stored)
