@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def normalize_prefix(path: str) -> str:
-    """Directory path with one slash at each end, so /admin never matches /administrator."""
+    """Directory path with exactly one slash at each end, whatever was given."""
     inner = path.strip("/")
     return f"/{inner}/" if inner else "/"
 
@@ -64,7 +64,7 @@ def child_path(parent_path: Column, name: Column) -> Column:
 
 def component_count(path: Column) -> Column:
     """Number of components of a normalised directory path (0 for the root)."""
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) - 1
+    return _slashes(path) - 1
 
 
 def ancestors(path: Column) -> Column:
@@ -82,10 +82,23 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), crumb)
 
 
+def _slashes(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def _prefix(path: Column, slashes: Column) -> Column:
+    head = F.call_function("substring_index", path, F.lit("/"), slashes)
+    return F.concat(head, F.lit("/"))
+
+
 def path_prefixes(path: Column) -> Column:
     """Every prefix of a directory path that ends in a slash, the path itself included."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
-    )
+    return F.transform(F.sequence(F.lit(1), _slashes(path)), lambda i: _prefix(path, i))
+
+
+def explode_prefixes(frame: DataFrame, column: str, into: str) -> DataFrame:
+    """One row per prefix of :func:`path_prefixes`. Only their numbers are exploded, so that the
+    whole step is generated code."""
+    path = F.col(column)
+    numbered = frame.withColumn("_slashes", F.explode(F.sequence(F.lit(1), _slashes(path))))
+    return numbered.withColumn(into, _prefix(path, F.col("_slashes"))).drop("_slashes")

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from fileglade.functions.paths import (
     child_path,
+    explode_prefixes,
     group_key,
     leading_components,
     normalize_prefix,
-    path_prefixes,
 )
 from fileglade.functions.text import human_size, iso_time
 from fileglade.schema import ROLLUP_CHILDREN, ROLLUP_MAX_DEPTH, ROLLUP_MAX_GROUPS
-from fileglade.sources.catalog import child_directories, subtree_files, under_any
+from fileglade.sources.catalog import (
+    PUSHED_PREFIXES,
+    child_directories,
+    subtree_files,
+    under_any,
+)
 
 
 class RollupTooWide(RuntimeError):
@@ -22,14 +27,14 @@ class RollupTooWide(RuntimeError):
 
 
 def too_wide_message(max_groups: int) -> str:
-    return f"rollup exceeds {max_groups} groups; use a smaller depth or a narrower path"
+    return f"more than {max_groups} groups: reduce the depth or choose a smaller subtree"
 
 
 def check_request(path: str, depth: int, allow_root: bool = False) -> str:
     """Validate a rollup request; returns the normalised prefix."""
     prefix = normalize_prefix(path)
     if not 1 <= depth <= ROLLUP_MAX_DEPTH:
-        raise ValueError(f"rollup depth must be between 1 and {ROLLUP_MAX_DEPTH}")
+        raise ValueError(f"depth {depth} is outside 1..{ROLLUP_MAX_DEPTH}")
     if prefix == "/" and not allow_root:
         raise PermissionError("a rollup of the entire namespace needs allow_root=True")
     return prefix
@@ -100,17 +105,19 @@ def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFram
     targets = spark.createDataFrame(wanted, "prefix string, depth int")
     if len(wanted) <= ROLLUP_MAX_GROUPS:
         targets = F.broadcast(targets)
-    below = catalog.where(under_any(sorted({p for p, _ in wanted})))
+    prefixes = sorted({p for p, _ in wanted})
+    below = catalog.where(under_any(prefixes))
     files = (
-        directory_totals(below)
-        .withColumn("prefix", F.explode(path_prefixes(F.col("parent_path"))))
+        explode_prefixes(directory_totals(below), "parent_path", "prefix")
         .join(targets, "prefix")
         .withColumn("name", group_key(F.col("parent_path"), F.col("prefix"), F.col("depth")))
         .drop("parent_path")
     )
+    parents = below.where(F.col("element_type") == "DIR")
+    if len(prefixes) <= PUSHED_PREFIXES:
+        parents = parents.where(F.col("parent_path").isin(prefixes))
     seeds = (
-        below.where(F.col("element_type") == "DIR")
-        .select(F.col("parent_path").alias("prefix"), "name")
+        parents.select(F.col("parent_path").alias("prefix"), "name")
         .join(targets, "prefix")
     )
     parts = files.unionByName(seeds, allowMissingColumns=True)
@@ -119,11 +126,7 @@ def rollup_many(catalog: DataFrame, requests: list[tuple[str, int]]) -> DataFram
 
 def rollup_all_directories(catalog: DataFrame) -> DataFrame:
     """Recursive totals of every directory in one pass, empty directories included."""
-    files = (
-        directory_totals(catalog)
-        .withColumn("path", F.explode(path_prefixes(F.col("parent_path"))))
-        .drop("parent_path")
-    )
+    files = explode_prefixes(directory_totals(catalog), "parent_path", "path").drop("parent_path")
     seeds = catalog.where(F.col("element_type") == "DIR").select(
         child_path(F.col("parent_path"), F.col("name")).alias("path")
     )

@@ -82,9 +82,10 @@ def envelope(top: DataFrame, totals: DataFrame, **facts) -> DataFrame:
     """Children (already limited) and totals as one row, with constant columns added."""
     shown = ["name", "file_count", "total_bytes", "total_used", "last_modified", "last_accessed"]
     by_rank = F.struct((-F.col("total_bytes")).alias("rank"), F.col("name").alias("tie"))
+    child = F.struct(*shown).alias("c")
     nested = top.agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(by_rank.alias("at"), F.struct(*shown).alias("c")))),
+            F.array_sort(F.collect_list(F.struct(by_rank.alias("at"), child))),
             lambda item: item.c,
         ).alias("children")
     )
@@ -202,7 +203,10 @@ class CatalogBrowser:
         return snapshot
 
     def rollup(self, path: str, depth: int = 1) -> RollupResult:
-        """A refreshed rollup if there is one, else one scan of the subtree. Raises RollupTooWide."""
+        """The refreshed rollup if there is one, else a scan of the subtree.
+
+        Raises RollupTooWide.
+        """
         prefix = ru.check_request(path, depth, self.allow_root)
         catalog, snapshot = self._catalog()
         grouped = None

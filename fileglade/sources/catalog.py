@@ -54,7 +54,7 @@ def scan(catalog: DataFrame, columns: list[str], predicate: Column | None = None
 def element_predicate(element: str) -> Column | None:
     """Type filter. A null type counts as other, like everything that is no file or directory."""
     if element not in ELEMENT_FILTERS:
-        raise ValueError("type must be all|file|dir|other")
+        raise ValueError(f"unknown element filter {element!r}, use one of {ELEMENT_FILTERS}")
     kind = F.col("element_type")
     return {
         "all": None,

@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileglade.functions.paths import normalize_prefix, path_prefixes
+from fileglade.functions.paths import explode_prefixes, normalize_prefix
 from fileglade.schema import CATALOG_SCHEMA
 
 
@@ -131,8 +131,8 @@ def _rows(table: DataFrame, kind: str, columns: dict[str, str], nlinks: int = 1)
 def _directory_rows(parents: DataFrame) -> DataFrame:
     """DIR rows for the given directories and all above them, the root apart."""
     paths = (
-        parents.distinct()
-        .select(F.explode(path_prefixes(F.col("parent_path"))).alias("path"))
+        explode_prefixes(parents.distinct(), "parent_path", "path")
+        .select("path")
         .where("path <> '/'")
         .distinct()
         .selectExpr("path", "substring_index(rtrim('/', path), '/', -1) as label")

@@ -91,7 +91,7 @@ class SnapshotStore:
             rows = reader.parquet(self._folder(snapshot))
             return rows.where(F.col("snapshot") == snapshot), snapshot
         if snapshot:
-            log.warning("snapshot %s unusable; reading the live table", snapshot)
+            log.warning("snapshot %s is absent or unfinished: using the live table", snapshot)
         live = read_catalog(self.spark, f"{self.root}/live", self.schema)
         return live.withColumn("snapshot", F.lit(None).cast("string")), None
 
@@ -123,7 +123,7 @@ class SnapshotWatch:
             try:
                 self._current = self._newest()
             except Exception as error:
-                log.warning("snapshot lookup failed (%s); keeping %s", error, self._current)
+                log.warning("no snapshot lookup (%s), staying with %s", error, self._current)
         return self._current
 
     def drop(self, snapshot: str) -> None:

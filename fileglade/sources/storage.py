@@ -48,6 +48,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(target)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    filesystem, target = _filesystem(spark, path)
+    filesystem.mkdirs(target)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a storage folder; none if there is no such folder."""
     filesystem, target = _filesystem(spark, path)

@@ -14,7 +14,7 @@ from fileglade.operators.rollup import rollup_many
 from fileglade.schema import FRONTIER_DEPTH, FRONTIER_MAX_DIRS
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore
-from fileglade.sources.storage import child_names
+from fileglade.sources.storage import child_names, make_folder
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class SnapshotRefresh:
 
     def start(self, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """Process what has been announced and stop, or poll, e.g. ``every="60 seconds"``."""
+        make_folder(self.spark, self.store.announcements)
         arrivals = self.spark.readStream.schema("value string").text(self.store.announcements)
         trigger = {"processingTime": every} if every else {"availableNow": True}
         return (

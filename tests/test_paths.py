@@ -25,8 +25,10 @@ def test_normalize_prefix(spark):
     assert {r["p"]: r["n"] for r in rows} == NORMAL
 
 
-def test_prefix_does_not_reach_siblings():
-    assert not "/administrator/".startswith(P.normalize_prefix("/admin"))
+def test_prefix_does_not_reach_siblings(spark):
+    frame = spark.createDataFrame([("/adm/x/",), ("/adm/",), ("/admin/",), ("/adm2/y/",)], "p string")
+    kept = frame.where(F.col("p").startswith(P.normalize_prefix("adm")))
+    assert [r["p"] for r in kept.collect()] == ["/adm/x/", "/adm/"]
 
 
 @pytest.mark.parametrize(
@@ -83,6 +85,8 @@ def test_path_prefixes_keep_empty_components(spark):
     frame = spark.createDataFrame([("/a//b/",), ("/",)], "p string")
     rows = frame.select(P.path_prefixes(F.col("p")).alias("x")).collect()
     assert [r["x"] for r in rows] == [["/", "/a/", "/a//", "/a//b/"], ["/"]]
+    each = P.explode_prefixes(frame, "p", "x").collect()
+    assert [r["x"] for r in each] == ["/", "/a/", "/a//", "/a//b/", "/"]
 
 
 def test_slug_and_component_count(spark):

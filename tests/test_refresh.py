@@ -27,6 +27,8 @@ def test_refresh_follows_snapshots_and_replays_cleanly(spark, make, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"), CATALOG_SCHEMA_NS)
     plan = RefreshPlan(rollups=[("/", 1), ("/p/", 1)], roots=["/p/"], depth=1)
     refresh = SnapshotRefresh(spark, store, str(tmp_path / "out"), plan, shards=2)
+    run(refresh, tmp_path / "progress")
+    assert refresh.current() is None and refresh.rollups().count() == 0
     store.publish(make(tree(3)), FIRST)
     run(refresh, tmp_path / "progress")
     assert refresh.current() == FIRST

@@ -93,7 +93,7 @@ def _with(body: str, *ctes: str, recursive: bool = False) -> str:
     return f"{word} {', '.join([_CATALOG, *ctes])}\n{body}"
 
 
-# ---- listings -------------------------------------------------------------------------------------
+# ---- listings ----------------------------------------------------------------------------------
 
 
 def _listing(path: str, where: str = "TRUE", cap: int = 500_000) -> str:
@@ -146,7 +146,7 @@ FROM (SELECT *, greatest(1, (n + {size - 1}) // {size}) AS pages FROM counted) q
     )
 
 
-# ---- rollups --------------------------------------------------------------------------------------
+# ---- rollups -----------------------------------------------------------------------------------
 
 
 def _rollup_ctes(prefix: str, depth: int, name: str = "roll") -> str:
@@ -240,9 +240,12 @@ def _human(size: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-# ---- hierarchy ------------------------------------------------------------------------------------
+# ---- hierarchy ---------------------------------------------------------------------------------
 
-_DIRS = "dirs AS (SELECT parent_path, name, parent_path || name || '/' AS path FROM cat WHERE element_type = 'DIR')"
+_DIRS = (
+    "dirs AS (SELECT parent_path, name, parent_path || name || '/' AS path "
+    "FROM cat WHERE element_type = 'DIR')"
+)
 
 
 def _walk(roots: list[str], depth: int, name: str = "walk") -> str:
