@@ -45,9 +45,12 @@ def iso_from_ntz(moment: Column) -> Column:
 
 
 def iso_time(frame: DataFrame, column: str) -> Column:
-    """ISO text of a time column, by its declared type (epoch nanoseconds or zone-less)."""
-    if isinstance(frame.schema[column].dataType, T.LongType):
+    """ISO text of a time column by its type: epoch nanoseconds, an instant, or zone-less."""
+    kind = frame.schema[column].dataType
+    if isinstance(kind, T.LongType):
         return iso_from_nanos(F.col(column))
+    if isinstance(kind, T.TimestampType):
+        return iso_from_nanos(F.unix_micros(F.col(column)) * 1000)
     return iso_from_ntz(F.col(column).cast("timestamp_ntz"))
 
 

@@ -184,7 +184,7 @@ class CatalogBrowser:
         )
         if self.listings is None or snapshot is None:
             return children
-        return not_yet_materialised(children, self.listings.ready())
+        return not_yet_materialised(children, self.listings.ready(snapshot))
 
     def prepare(
         self,

@@ -8,10 +8,13 @@ from pyspark.sql import types as T
 
 from fileglade.operators.hierarchy import not_yet_materialised
 from fileglade.schema import CATALOG_SCHEMA
+from fileglade.sources.catalog import catalog_reader
 from fileglade.sources.storage import child_names, exists
 
 _BROADCAST_DIRS = 10_000
-_READY = "snapshot string, path string, part string"
+_READY = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("path", "snapshot", "part")]
+)
 
 
 class ListingStore:
@@ -38,32 +41,36 @@ class ListingStore:
     def _shard(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.shards)).cast("int")
 
-    def ready(self) -> DataFrame:
-        """Directories whose listings are complete, by snapshot and part."""
-        folder = f"{self.root}/ready"
+    def _read(self, kind: str, schema: T.StructType, *below: str) -> DataFrame:
+        """A partitioned table of the store, or one folder of it: nothing else is even listed."""
+        base = f"{self.root}/{kind}"
+        folder = "/".join([base, *below])
         if not child_names(self.spark, folder):
-            return self.spark.createDataFrame([], _READY)
-        return self.spark.read.schema(_READY).option("recursiveFileLookup", True).parquet(folder)
+            return self.spark.createDataFrame([], schema)
+        return catalog_reader(self.spark, schema).option("basePath", base).parquet(folder)
+
+    def ready(self, snapshot: str | None = None) -> DataFrame:
+        """Directories whose listings are complete, by snapshot and part."""
+        below = () if snapshot is None else (f"snapshot={snapshot}",)
+        return self._read("ready", _READY, *below)
 
     def add(self, catalog: DataFrame, wanted: DataFrame, snapshot: str, part: str) -> None:
         """Write the listings of the directories in ``wanted`` (column ``path``).
 
-        Writing a part again replaces it. The directories still missing are written down first:
-        their count decides whether they may be broadcast, and a retry sees the same ones.
+        A snapshot does not change, so a part that is ready is left alone; one that failed is
+        written anew. The directories still missing are written down first: their count decides
+        whether they may be broadcast.
         """
-        others = self.ready().where((F.col("snapshot") == snapshot) & (F.col("part") != part))
+        place = f"snapshot={snapshot}/part={part}"
+        if exists(self.spark, f"{self.root}/ready/{place}/_SUCCESS"):
+            return
         missing = not_yet_materialised(
-            wanted.select(F.lit(snapshot).alias("snapshot"), "path"), others
+            wanted.select(F.lit(snapshot).alias("snapshot"), "path"), self.ready(snapshot)
         )
-        record = f"{self.root}/ready/{snapshot}-{part}"
-        rows_folder = f"{self.root}/rows/snapshot={snapshot}/part={part}"
-        staged = f"{self.root}/wanted/{snapshot}-{part}"
-        missing.select("snapshot", "path", F.lit(part).alias("part")).write.mode(
-            "overwrite"
-        ).parquet(staged)
-        todo = self.spark.read.schema(_READY).parquet(staged)
+        missing.select("path").write.mode("overwrite").parquet(f"{self.root}/wanted/{place}")
+        todo = self.spark.read.schema("path string").parquet(f"{self.root}/wanted/{place}")
         count = todo.count()
-        if count == 0 and not exists(self.spark, record):
+        if count == 0:
             return
         paths = todo.select(F.col("path").alias("parent_path"))
         if count <= _BROADCAST_DIRS:
@@ -78,38 +85,30 @@ class ListingStore:
             .sortWithinPartitions("shard", "parent_path", "name")
             .write.mode("overwrite")
             .partitionBy("shard")
-            .parquet(rows_folder)
+            .parquet(f"{self.root}/rows/{place}")
         )
-        todo.write.mode("overwrite").parquet(record)
+        todo.write.mode("overwrite").parquet(f"{self.root}/ready/{place}")
 
-    def _stored(self, snapshot: str | None) -> DataFrame:
-        fields = [
-            *self.schema.fields,
+    def _stored(self, *below: str) -> DataFrame:
+        placed = [
             T.StructField("snapshot", T.StringType()),
             T.StructField("part", T.StringType()),
             T.StructField("shard", T.IntegerType()),
         ]
-        base = f"{self.root}/rows"
-        rows = (
-            self.spark.read.schema(T.StructType(fields))
-            .option("basePath", base)
-            .parquet(base if snapshot is None else f"{base}/snapshot={snapshot}")
-        )
-        return rows if snapshot is None else rows.where(F.col("snapshot") == snapshot)
+        return self._read("rows", T.StructType([*self.schema.fields, *placed]), *below)
 
-    def rows(self, snapshot: str | None = None) -> DataFrame:
-        """All ready rows, of one snapshot or of all; leftovers of failed runs are left out."""
-        ready = self.ready().withColumnRenamed("path", "parent_path")
+    def rows(self, snapshot: str) -> DataFrame:
+        """All ready rows of a snapshot; leftovers of failed runs are left out."""
+        ready = self.ready(snapshot).withColumnRenamed("path", "parent_path")
         keys = ["snapshot", "part", "parent_path"]
-        return self._stored(snapshot).join(ready, keys, "left_semi")
+        return self._stored(f"snapshot={snapshot}").join(ready, keys, "left_semi")
 
     def directory(self, snapshot: str, path: str) -> DataFrame | None:
         """Catalog rows of one ready directory, or None if it has to come from the catalog."""
-        held = self.ready().where((F.col("snapshot") == snapshot) & (F.col("path") == path)).first()
+        held = self.ready(snapshot).where(F.col("path") == path).first()
         if held is None:
             return None
-        return self._stored(snapshot).where(
-            (F.col("part") == held["part"])
-            & (F.col("shard") == self._shard(F.lit(path)))
-            & (F.col("parent_path") == path)
+        shard = F.col("shard") == self._shard(F.lit(path))
+        return self._stored(f"snapshot={snapshot}", f"part={held['part']}").where(
+            shard & (F.col("parent_path") == path)
         )

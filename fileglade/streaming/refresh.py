@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fileglade.functions.paths import normalize_prefix
@@ -14,7 +15,9 @@ from fileglade.operators.rollup import rollup_many
 from fileglade.schema import FRONTIER_DEPTH, FRONTIER_MAX_DIRS
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore
-from fileglade.sources.storage import child_names, make_folder
+from fileglade.sources.storage import child_names, exists, make_folder
+
+_COUNTS = ("file_count", "total_bytes", "total_used")
 
 
 @dataclass(frozen=True)
@@ -31,8 +34,8 @@ class SnapshotRefresh:
     """Follows the announcements of a snapshot store.
 
     A micro-batch only names snapshots; their rows are read again as a batch from the committed
-    folder, so half a snapshot is never aggregated. Each snapshot overwrites its own folders:
-    replaying a batch changes nothing.
+    folder, so half a snapshot is never aggregated. Each snapshot has its own folders and is
+    finished once; a replayed batch completes what failed and leaves the rest alone.
     """
 
     def __init__(
@@ -67,7 +70,13 @@ class SnapshotRefresh:
             if self.store.usable(name):
                 self.refresh(name)
 
+    def finished(self, name: str) -> bool:
+        return exists(self.spark, f"{self.root}/current/{name}/_SUCCESS")
+
     def refresh(self, name: str) -> None:
+        """Write the outputs of one snapshot unless they are all there."""
+        if self.finished(name):
+            return
         catalog, _ = self.store.read(name)
         rollup_many(catalog, self.plan.rollups).write.mode("overwrite").parquet(
             f"{self.root}/rollups/snapshot={name}"
@@ -79,34 +88,33 @@ class SnapshotRefresh:
         marker = self.spark.range(1).coalesce(1).select(F.lit(name).alias("snapshot"))
         marker.write.mode("overwrite").parquet(f"{self.root}/current/{name}")
 
-    def finished(self) -> list[str]:
-        """Snapshots whose outputs are all written."""
-        return sorted(child_names(self.spark, f"{self.root}/current"))
-
     def current(self) -> str | None:
-        return max(self.finished(), default=None)
-
-    def rollups(self) -> DataFrame:
-        """Refreshed rollup groups of all finished snapshots."""
-        times = {f.name: f.dataType.simpleString() for f in self.store.schema}
-        schema = (
-            "prefix string, depth int, name string, file_count bigint, total_bytes bigint, "
-            f"total_used bigint, mtime {times['mtime']}, atime {times['atime']}, snapshot string"
+        """Newest snapshot whose outputs are all written."""
+        started = sorted(child_names(self.spark, f"{self.root}/current"), reverse=True)
+        return next((name for name in started if self.finished(name)), None)
+
+    def rollups(self, snapshot: str) -> DataFrame:
+        """Refreshed rollup groups of a finished snapshot; none if it is not finished."""
+        schema = T.StructType(
+            [
+                T.StructField("prefix", T.StringType()),
+                T.StructField("depth", T.IntegerType()),
+                T.StructField("name", T.StringType()),
+                *[T.StructField(c, T.LongType()) for c in _COUNTS],
+                *[self.store.schema[c] for c in ("mtime", "atime")],
+                T.StructField("snapshot", T.StringType()),
+            ]
         )
-        finished = self.finished()
-        if not finished:
+        if not self.finished(snapshot):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/rollups")
-        return rows.where(F.col("snapshot").isin(finished))
+        base = f"{self.root}/rollups"
+        reader = self.spark.read.schema(schema).option("basePath", base)
+        return reader.parquet(f"{base}/snapshot={snapshot}")
 
     def groups(self, snapshot: str, prefix: str, depth: int) -> DataFrame | None:
         """One refreshed rollup, or None if it has to be computed."""
         kept = {(normalize_prefix(p), d) for p, d in self.plan.rollups}
-        if (prefix, depth) not in kept or snapshot not in self.finished():
+        if (prefix, depth) not in kept or not self.finished(snapshot):
             return None
-        wanted = (
-            (F.col("snapshot") == snapshot)
-            & (F.col("prefix") == prefix)
-            & (F.col("depth") == depth)
-        )
-        return self.rollups().where(wanted).drop("snapshot", "prefix", "depth")
+        wanted = (F.col("prefix") == prefix) & (F.col("depth") == depth)
+        return self.rollups(snapshot).where(wanted).drop("snapshot", "prefix", "depth")

@@ -1,3 +1,8 @@
+import time
+
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from fileglade.operators.rollup import rollup_groups
 from fileglade.plans.browser import CatalogBrowser
 from fileglade.schema import CATALOG_SCHEMA_NS
@@ -28,7 +33,7 @@ def test_refresh_follows_snapshots_and_replays_cleanly(spark, make, tmp_path):
     plan = RefreshPlan(rollups=[("/", 1), ("/p/", 1)], roots=["/p/"], depth=1)
     refresh = SnapshotRefresh(spark, store, str(tmp_path / "out"), plan, shards=2)
     run(refresh, tmp_path / "progress")
-    assert refresh.current() is None and refresh.rollups().count() == 0
+    assert refresh.current() is None and refresh.rollups(FIRST).count() == 0
     store.publish(make(tree(3)), FIRST)
     run(refresh, tmp_path / "progress")
     assert refresh.current() == FIRST
@@ -38,7 +43,7 @@ def test_refresh_follows_snapshots_and_replays_cleanly(spark, make, tmp_path):
     assert refresh.current() == SECOND
     for name in (FIRST, SECOND):
         catalog, _ = store.read(name)
-        got = refresh.rollups().where(f"snapshot = '{name}' and prefix = '/p/'")
+        got = refresh.rollups(name).where(f"snapshot = '{name}' and prefix = '/p/'")
         single = rollup_groups(catalog, "/p/", 1)
         assert contents(got.select(*single.columns)) == contents(single)
         ready = refresh.listings.directory(name, "/p/a/")
@@ -50,10 +55,55 @@ def test_refresh_follows_snapshots_and_replays_cleanly(spark, make, tmp_path):
     assert (kept.rows_scanned, kept.snapshot) == (5, SECOND)
     assert refresh.groups(SECOND, "/p/", 2) is None and refresh.groups("x", "/p/", 1) is None
 
-    before = contents(refresh.rollups()), contents(refresh.listings.rows().select("snapshot", "parent_path", "name"))
+    def outputs():
+        return [
+            contents(part)
+            for name in (FIRST, SECOND)
+            for part in (
+                refresh.rollups(name),
+                refresh.listings.rows(name).select("snapshot", "parent_path", "name"),
+                refresh.listings.ready(name),
+            )
+        ]
+
+    before = outputs()
     run(refresh, tmp_path / "a new checkpoint replays everything")
-    after = contents(refresh.rollups()), contents(refresh.listings.rows().select("snapshot", "parent_path", "name"))
-    assert before == after
+    assert outputs() == before and all(before)
+
+
+def test_an_interrupted_refresh_is_completed(spark, make, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "store"), CATALOG_SCHEMA_NS)
+    plan = RefreshPlan(rollups=[("/p/", 1)], roots=["/p/"], depth=1)
+    refresh = SnapshotRefresh(spark, store, str(tmp_path / "out"), plan, shards=2)
+    store.publish(make(tree(3)), FIRST)
+
+    def fails(*_args, **_kw):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(refresh.listings, "add", fails)
+        query = refresh.start(str(tmp_path / "progress"))
+        with pytest.raises(StreamingQueryException):
+            query.awaitTermination(120)
+    assert refresh.current() is None and refresh.groups(FIRST, "/p/", 1) is None
+    run(refresh, tmp_path / "progress")
+    assert refresh.current() == FIRST
+    assert refresh.listings.directory(FIRST, "/p/a/").count() == 3
+    assert refresh.groups(FIRST, "/p/", 1).count() == 2
+
+
+def test_polling_trigger(spark, make, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), CATALOG_SCHEMA_NS)
+    refresh = SnapshotRefresh(spark, store, str(tmp_path / "out"), RefreshPlan([("/p/", 1)]))
+    query = refresh.start(str(tmp_path / "progress"), every="1 second")
+    try:
+        store.publish(make(tree(2)), FIRST)
+        deadline = time.monotonic() + 60
+        while refresh.current() != FIRST and time.monotonic() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert refresh.current() == FIRST
 
 
 def test_announced_but_unusable_snapshots_are_skipped(spark, make, tmp_path):

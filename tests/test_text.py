@@ -42,6 +42,20 @@ def test_iso_from_ntz_is_free_of_the_session_zone(spark):
     ]
 
 
+def test_iso_time_follows_the_column_type(spark):
+    frame = spark.sql(
+        "select 1500000000123456789L as n, timestamp '2017-07-14 02:40:00.5Z' as t, "
+        "timestamp_ntz '2017-07-14 02:40:00.5' as z, cast(null as timestamp) as e"
+    )
+    row = frame.select(*[X.iso_time(frame, c).alias(c) for c in frame.columns]).first()
+    assert tuple(row) == (
+        "2017-07-14T02:40:00.123456789",
+        "2017-07-14T02:40:00.500000000",
+        "2017-07-14T02:40:00.500000000",
+        "",
+    )
+
+
 def _human(n):
     if n is None:
         return "—"

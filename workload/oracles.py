@@ -6,7 +6,7 @@ a recursive walk, pages and caps from row numbers.
 
 from __future__ import annotations
 
-from workload.queries import EVENTS_CAP, NEWER, OLDER
+from workload.queries import EVENTS_CAP, MANY_ROLLUPS, MANY_ROOTS, NEWER, OLDER
 
 _CATALOG = """
 files AS (
@@ -199,6 +199,11 @@ def _rollup_empty_dirs() -> str:
     return _with(body, *ctes)
 
 
+def _rollup_many() -> str:
+    ctes, body = _several(MANY_ROLLUPS)
+    return _with(body, *ctes)
+
+
 def _snapshot_refresh() -> str:
     requests = [("/", 1), ("/lineitem/", 2), ("/documents/", 2)]
     ctes, now = _several(requests)
@@ -378,6 +383,16 @@ FROM cat WHERE parent_path = '/documents/' AND contains(name, '1')"""
     "rollup_flat": _rollup("/events/", 1),
     "rollup_null_sizes": _rollup("/documents/", 2),
     "rollup_empty_dirs": _rollup_empty_dirs(),
+    "rollup_many": _rollup_many(),
+    "rollup_merge": _with(
+        f"""SELECT {_GROUP} FROM (
+  SELECT name, CAST(sum(file_count) AS BIGINT) AS file_count,
+    CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(total_used) AS BIGINT) AS total_used,
+    max(mtime) AS mtime, max(atime) AS atime
+  FROM (SELECT * FROM one UNION ALL SELECT * FROM two) q GROUP BY name) g""",
+        _rollup_ctes("/lineitem/", 1, "one"),
+        _rollup_ctes("/orders/", 1, "two"),
+    ),
     "rollup_totals": _with(f"SELECT {_TOTALS} FROM roll", _rollup_ctes("/documents/", 2)),
     "rollup_guard": _with(
         """SELECT CAST(g.most AS BIGINT) AS max_groups, least(n, g.most + 1) AS groups_seen,
@@ -465,6 +480,9 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 <> 0 THEN
         _CRUMBS,
     ),
     "frontier": _with("SELECT * FROM walk", _DIRS, _walk(_ROOTS, 2), recursive=True),
+    "frontier_many_roots": _with(
+        "SELECT * FROM walk", _DIRS, _walk(MANY_ROOTS, 1), recursive=True
+    ),
     "frontier_capped": _with(
         "SELECT * FROM walk ORDER BY level, path LIMIT 50",
         _DIRS,
@@ -486,6 +504,7 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 <> 0 THEN
         _walk(["/documents/", "/events/"], 1),
         recursive=True,
     ),
+    "listing_ready": _page("/documents/", _by("size", "DESC"), 1, 40),
     "first_children": _with(
         "SELECT parent_path, name, path, position FROM firsts", _DIRS, _first_children(8)
     ),

@@ -27,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 OLDER = "files_2026-08-12_18_01_26_UTC"
 NEWER = "files_2026-08-12_19_01_25_UTC"
 EVENTS_CAP = 1000
+MANY_ROLLUPS = [("/", 2), ("/documents/", 1), ("/orders/", 2), ("/lineitem/A/", 2), ("/home/", 1)]
+MANY_ROOTS = [f"/documents/src{i}/" for i in range(40)] + ["/lineitem/", "/lineitem/A/"]
 
 
 def _table(spark: SparkSession, tables: str, name: str) -> DataFrame:
@@ -115,7 +117,7 @@ def snapshot_refresh(spark, tables):
     refresh = SnapshotRefresh(spark, store, folder, plan, shards=4)
     query = refresh.start(f"{folder}/progress")
     query.awaitTermination()
-    groups = refresh.rollups()
+    groups = refresh.rollups(OLDER).unionByName(refresh.rollups(NEWER))
     return _named(groups, "snapshot", "prefix", "depth").withColumn(
         "is_current", F.col("snapshot") == refresh.current()
     )
@@ -284,6 +286,16 @@ def rollup_empty_dirs(spark, tables):
     return _named(groups.where(F.col("file_count") == 0), "prefix", "depth")
 
 
+def rollup_many(spark, tables):
+    groups = ru.rollup_many(derived_catalog(spark, tables), MANY_ROLLUPS)
+    return _named(groups, "prefix", "depth")
+
+
+def rollup_merge(spark, tables):
+    parts = [_groups(spark, tables, path, 1) for path in ("/lineitem/", "/orders/")]
+    return _named(ru.merge_groups(parts[0].unionByName(parts[1]), ["name"]))
+
+
 def rollup_totals(spark, tables):
     return ru.totals(_groups(spark, tables, "/documents/", 2))
 
@@ -419,6 +431,10 @@ def frontier(spark, tables):
     return hierarchy.frontier(derived_catalog(spark, tables), _ROOTS, 2)
 
 
+def frontier_many_roots(spark, tables):
+    return hierarchy.frontier(derived_catalog(spark, tables), MANY_ROOTS, 1)
+
+
 def frontier_capped(spark, tables):
     return hierarchy.capped_frontier(frontier(spark, tables), 50)
 
@@ -443,6 +459,16 @@ def materialised_listing(spark, tables):
     )
 
 
+def listing_ready(spark, tables):
+    source = _written(spark, tables)
+    store = ListingStore(spark, shared_folder(spark), shards=4)
+    wanted = hierarchy.frontier(source, ["/documents/", "/lineitem/"], 1)
+    store.add(source, hierarchy.capped_frontier(wanted), NEWER, "only")
+    found = listing.open_listing(store.directory(NEWER, "/documents/"), "/documents/")
+    rows, at = found.page(1, 40, "size", "desc")
+    return _flag(listing.entries(rows), page=at.number, pages=at.pages)
+
+
 def first_children(spark, tables):
     return hierarchy.first_children(derived_catalog(spark, tables), 8)
 
@@ -517,6 +543,8 @@ QUERIES: dict[str, Query] = {
     "rollup_flat": _rollup("/events/", 1),
     "rollup_null_sizes": _rollup(DOCS, 2),
     "rollup_empty_dirs": rollup_empty_dirs,
+    "rollup_many": rollup_many,
+    "rollup_merge": rollup_merge,
     "rollup_totals": rollup_totals,
     "rollup_guard": rollup_guard,
     "rows_scanned": rows_scanned,
@@ -533,9 +561,11 @@ QUERIES: dict[str, Query] = {
     "ancestors": ancestors,
     "expand_to": expand_to,
     "frontier": frontier,
+    "frontier_many_roots": frontier_many_roots,
     "frontier_capped": frontier_capped,
     "frontier_missing": frontier_missing,
     "materialised_listing": materialised_listing,
+    "listing_ready": listing_ready,
     "first_children": first_children,
     "tree_level": tree_level,
     "listing_annotated": listing_annotated,
