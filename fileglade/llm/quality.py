@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileglade.llm.common import materialised, salted_join
+from fileglade.llm.common import let, materialised, salted_join
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -47,7 +47,7 @@ def _repeated(grams: Column) -> Column:
     Sorting (hash, place) brings equal windows together; the places of those with an equal
     neighbour, sorted, cover ``min(WINDOW, gap to the next)`` words each.
     """
-    ordered = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def again(rows: Column) -> Column:
         def twin(x: Column, i: Column) -> Column:
@@ -55,7 +55,7 @@ def _repeated(grams: Column) -> Column:
             after = F.coalesce(F.get(rows, i + 1)["h"] == x["h"], F.lit(False))
             return before | after
 
-        return F.array_sort(F.transform(F.filter(rows, twin), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(rows, twin), lambda x: x["i"]))
 
     def covered(places: Column) -> Column:
         return F.aggregate(
@@ -67,7 +67,7 @@ def _repeated(grams: Column) -> Column:
             lambda s, n: s + n,
         )
 
-    return F.transform(F.array(ordered), lambda rows: F.transform(F.array(again(rows)), covered)[0])[0]
+    return let(ordered, lambda rows: let(again(rows), covered))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def bucket(value: Column) -> Column:
     """The sketch bucket of a ratio; its upper edge is ``2 ** (bucket / STEPS)``."""
-    return F.ceil(F.lit(STEPS) * F.log2(F.greatest(value, F.lit(FLOOR)))).cast("int")
+    return F.ceil(F.lit(STEPS) * F.log2(F.greatest(value, F.lit(FLOOR))) - 1e-9).cast("int")
 
 
 def sketches(measured: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fileglade.llm import packing, pieces, quality, repair
+from fileglade.llm import fingerprints, lines, packing, pieces, quality, repair
 from fileglade.llm.common import materialised, table
 
 
@@ -16,6 +16,16 @@ def op4_repair(spark, tables):
     return repair.round_trip(table(spark, tables, "documents")).drop("ids")
 
 
+def op5_order_minhash(spark, tables):
+    return fingerprints.edited_pairs(table(spark, tables, "documents"))
+
+
+def op6_line_dedup(spark, tables):
+    cut = lines.without_boilerplate(table(spark, tables, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_lines", "n_dropped", kept)
+
+
 def op7_quality_rules(spark, tables):
     docs = table(spark, tables, "documents").select("doc_id", "text", "lang", "source")
     measured = materialised(quality.measure(docs).drop("text"), spark)
@@ -29,6 +39,9 @@ def op9_packing(spark, tables):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op4_repair, op7_quality_rules, op9_packing)
+    for f in (
+        op1_sentencepiece, op4_repair, op5_order_minhash, op6_line_dedup, op7_quality_rules,
+        op9_packing,
+    )
 }
 ORACLES: dict[str, str] = {}
