@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fileglade.llm import fingerprints, lines, packing, pieces, quality, repair
+from fileglade.llm import fingerprints, lines, neardup, packing, pieces, quality, repair
 from fileglade.llm.common import materialised, table
 
 
@@ -33,6 +33,10 @@ def op7_quality_rules(spark, tables):
     return quality.verdicts(measured).select(*names)
 
 
+def op8_prob_minhash(spark, tables):
+    return neardup.classes(table(spark, tables, "documents"))
+
+
 def op9_packing(spark, tables):
     return packing.packed(table(spark, tables, "documents"), keep_ids=False)
 
@@ -41,7 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op4_repair, op5_order_minhash, op6_line_dedup, op7_quality_rules,
-        op9_packing,
+        op8_prob_minhash, op9_packing,
     )
 }
 ORACLES: dict[str, str] = {}
