@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fileglade.llm import fingerprints, lines, neardup, packing, pieces, quality, repair
+from fileglade.llm import (
+    fingerprints, lines, lmscore, neardup, packing, pieces, quality, repair, suffixes, toxicity,
+)
 from fileglade.llm.common import materialised, table
 
 
@@ -12,6 +14,15 @@ def op1_sentencepiece(spark, tables):
     return pieces.encoded(table(spark, tables, "documents"), digests=True)
 
 
+def op2_toxicity(spark, tables):
+    docs = table(spark, tables, "documents")
+    return toxicity.severities(docs, toxicity.train(docs, table(spark, tables, "labels")))
+
+
+def op3_lm_score(spark, tables):
+    return lmscore.scored(table(spark, tables, "documents"))
+
+
 def op4_repair(spark, tables):
     return repair.round_trip(table(spark, tables, "documents")).drop("ids")
 
@@ -41,11 +52,15 @@ def op9_packing(spark, tables):
     return packing.packed(table(spark, tables, "documents"), keep_ids=False)
 
 
+def op10_suffix_dedup(spark, tables):
+    return suffixes.deduplicated(table(spark, tables, "documents"), keep_bytes=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op4_repair, op5_order_minhash, op6_line_dedup, op7_quality_rules,
-        op8_prob_minhash, op9_packing,
+        op1_sentencepiece, op2_toxicity, op3_lm_score, op4_repair, op5_order_minhash, op6_line_dedup, op7_quality_rules,
+        op8_prob_minhash, op9_packing, op10_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {}

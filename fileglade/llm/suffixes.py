@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fileglade.llm.common import sized, slices, worker_path
 from fileglade.llm.deepshallow import deep_shallow_sort
@@ -210,13 +211,13 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, keep_bytes: bool = True, carry: str | None = None) -> DataFrame:
     """What is left of each (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; all is
     judged on the input. Texts are UTF-8; a null text is an empty one. Rows with equal doc_id take
     nothing from each other; a null doc_id comes after all others. ``kept`` may not be valid
-    UTF-8 where a removed string ends inside a character.
+    UTF-8 where a removed string ends inside a character. ``carry`` names a column to pass through.
 
     The text is shuffled once; the three steps that read it share that exchange. Tasks hold one
     group's texts, or one bucket's hashes or contexts; buckets grow in number with the input.
@@ -227,8 +228,11 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"),
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([carry] if carry else []),
     )
+    schema = StructType.fromDDL(_ddl(_RESULT))
+    if carry:
+        schema = schema.add(carry, docs.schema[carry].dataType)
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         group = _Group(table)
@@ -315,7 +319,8 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
 
     def remove(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _RESULT.empty_table()
+            none = _RESULT.empty_table()
+            return none.append_column(carry, texts[carry]) if carry else none
         hits = answers.filter(pa.compute.is_valid(answers["hits"]))
         answers = answers.filter(pa.compute.is_valid(answers["owner"]))
         marks: list[tuple[np.ndarray, ...]] = []
@@ -358,10 +363,11 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
             digests += [hashlib.sha256(x).hexdigest() for x in texts_left]
             kept += texts_left if keep_bytes else [None] * len(texts_left)
         ids = np.concatenate([np.diff(p[3]) for p in group.parts])
-        return _table(_RESULT, {
+        out = _table(_RESULT, {
             "doc_id": texts["doc_id"].combine_chunks(), "n_bytes": ids, "n_removed": np.concatenate(counts),
             "n_spans": np.concatenate(spans), "kept_sha256": digests, "kept": kept,
         })
+        return out.append_column(carry, texts[carry]) if carry else out
 
     by_group = dealt.groupBy("g")
     sent = by_group.applyInArrow(send_anchors, _ddl(_ANCHORS))
@@ -369,5 +375,17 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     around = by_group.cogroup(hits.groupBy("g")).applyInArrow(send_contexts, _ddl(_CONTEXTS))
     owners = around.groupBy("bucket").applyInArrow(sort_contexts, _ddl(_OWNERS))
     answers = owners.unionByName(hits, allowMissingColumns=True)
-    result = by_group.cogroup(answers.groupBy("g")).applyInArrow(remove, _ddl(_RESULT))
+    result = by_group.cogroup(answers.groupBy("g")).applyInArrow(remove, schema)
     return result if keep_bytes else result.drop("kept")
+
+
+def documents_without_repeats(docs: DataFrame) -> DataFrame:
+    """Documents with what ``deduplicated`` leaves of their texts, and all their other columns.
+
+    Rows pass through beside their texts, so repeated and null doc_ids are no matter.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c).alias(f"c_{c}") for c in others])
+    left = deduplicated(docs.select("doc_id", "text", row.alias("row")), carry="row")
+    text = F.when(~F.col("row.no_text"), F.make_valid_utf8(F.col("kept").cast("string"))).alias("text")
+    return left.select(*[text if c == "text" else F.col("row").getField(f"c_{c}").alias(c) for c in docs.columns])
