@@ -34,6 +34,7 @@ MARK_EVERY = 1024
 #: A pair must occur so often to get a rule; rounds of counting; rules made in one round at most.
 MIN_COUNT, ROUNDS, ROUND_RULES = 8, 6, 6144
 _SYMBOLS = 1 << 16
+_SLOT_BITS = 20
 
 _BLOBS = ("doc_ids", "doc_nulls", "starts", "symbols", "alphabet", "rules", "lengths", "marks")
 _FIELDS = [("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]
@@ -66,17 +67,12 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             break
         best = often[np.lexsort((ordered[edges[often]], -counts[often]))][: min(room, ROUND_RULES)]
         pairs = ordered[edges[best]]
-        by_code = np.argsort(pairs)
-        # Only places whose two symbols occur in some chosen pair are looked up.
-        heads, tails = np.zeros(_SYMBOLS, bool), np.zeros(_SYMBOLS, bool)
-        heads[pairs >> 16], tails[pairs & 0xFFFF] = True, True
-        places = np.flatnonzero(heads[symbols[:-1]] & tails[symbols[1:]])
-        found = np.searchsorted(pairs[by_code], codes[places])
-        found[found == len(pairs)] = 0
-        hit = pairs[by_code][found] == codes[places]
-        places, rank = places[hit], by_code[found[hit]]
-        keep = _disjoint(places, rank)
-        places, rank = places[keep], rank[keep]
+        # A slot holds one pair, the most frequent of those that hash to it; the others wait.
+        slots = np.full(1 << _SLOT_BITS, -1, np.int16)
+        slots[_slot(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1)
+        rank = slots[_slot(codes)]
+        places = np.flatnonzero((rank >= 0) & (pairs[rank] == codes))
+        places, rank = _disjoint(places, rank[places])
         used = np.bincount(rank, minlength=len(pairs))
         worth = used >= 3  # a rule costs two symbols
         number = np.cumsum(worth) - 1
@@ -85,7 +81,9 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             break
         first = base + len(rules)
         symbols[places] = (first + number[rank]).astype(np.uint16)
-        symbols = np.delete(symbols, places + 1)
+        stay = np.ones(len(symbols), bool)
+        stay[places + 1] = False
+        symbols = symbols[stay]
         new = pairs[worth]
         rules = np.concatenate([rules, np.stack([new >> 16, new & 0xFFFF], 1).astype(np.uint16)])
         if len(places) < len(codes) // 100:
@@ -93,33 +91,30 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols, rules
 
 
-def _disjoint(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which occurrences (ascending) are replaced: of two that overlap, the one of lower rank,
-    the left one among equals. Undecided ones are looked at again until none is left."""
-    keep = np.zeros(len(places), bool)
-    alive = np.arange(len(places))
-    while len(alive):
-        at, order = places[alive], rank[alive].astype(np.int64)
-        touch = at[1:] == at[:-1] + 1
-        beats_left = np.ones(len(alive), bool)
-        beats_right = np.ones(len(alive), bool)
-        beats_left[1:] = ~touch | (order[1:] < order[:-1])
-        beats_right[:-1] = ~touch | (order[:-1] <= order[1:])
-        # In a run of equal ranks every second one from its left end can go at once.
-        equal = np.concatenate([[False], touch & (order[1:] == order[:-1])])
-        if equal.any():
-            index = np.arange(len(alive))
-            start = np.maximum.accumulate(np.where(equal, -1, index))
-            even = (index - start) % 2 == 0
-            won = beats_left[start] & even & (beats_right | ~even)
-        else:
-            won = beats_left & beats_right
-        keep[alive[won]] = True
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return codes * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS)
+
+
+def _disjoint(places: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences (ascending places) that don't overlap: of two that do, the one of lower rank
+    goes first, of equals the one at an even place, so that runs are halved at once.
+
+    Two passes; what is still undecided then is counted again in the next round.
+    """
+    chosen = []
+    for _ in range(2):
+        key = rank.astype(np.int32) * 2 + (places & 1)
+        apart = places[1:] != places[:-1] + 1
+        less = key[1:] < key[:-1]
+        won = np.ones(len(places), bool)
+        won[1:] = apart | less
+        won[:-1] &= apart | ~less
+        chosen.append((places[won], rank[won]))
         gone = won.copy()
-        gone[1:] |= won[:-1] & touch
-        gone[:-1] |= won[1:] & touch
-        alive = alive[~gone]
-    return keep
+        gone[1:] |= won[:-1] & ~apart
+        gone[:-1] |= won[1:] & ~apart
+        places, rank = places[~gone], rank[~gone]
+    return np.concatenate([c[0] for c in chosen]), np.concatenate([c[1] for c in chosen])
 
 
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
@@ -136,26 +131,29 @@ def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The sequence of symbols below ``base``."""
-    out = symbols
-    while len(out):
-        composite = out >= base
-        if not composite.any():
-            break
-        width = np.where(composite, 2, 1)
-        at = np.cumsum(width) - width
-        wide = np.empty(int(width.sum()), np.uint16)
-        wide[at] = np.where(composite, 0, out)
-        pair = rules[out[composite].astype(int) - base]
-        wide[at[composite]], wide[at[composite] + 1] = pair[:, 0], pair[:, 1]
-        out = wide
-    return out
+    """The sequence of symbols below ``base``.
+
+    All rules are expanded once, one after the other; the rules of a round have disjoint
+    occurrences, so together they are no longer than the sequence.
+    """
+    own = np.arange(base, dtype="<u2").tobytes()
+    parts = [own[i : i + 2] for i in range(0, 2 * base, 2)]
+    for left, right in rules.tolist():
+        parts.append(parts[left] + parts[right])
+    flat = np.frombuffer(b"".join(parts), "<u2")
+    length = np.array([len(p) // 2 for p in parts], np.int64)
+    first = np.cumsum(length) - length
+    width = length[symbols]
+    at = np.repeat(first[symbols] - (np.cumsum(width) - width), width)
+    return flat[at + np.arange(len(at))]
 
 
 def shard_rows(docs: list, ids: list[bytes], part: int, seq: int) -> Iterator[dict]:
     """File rows of some documents' ids; one, unless the alphabet is too large for 16 bits."""
     whole = np.frombuffer(b"".join(ids), "<u4")
-    alphabet, symbols = np.unique(whole, return_inverse=True)
+    seen = np.zeros(int(whole.max(initial=0)) + 1, bool)
+    seen[whole] = True
+    alphabet = np.flatnonzero(seen)
     if len(alphabet) >= _SYMBOLS - 256 and len(docs) > 1:
         half = len(docs) // 2
         for row in shard_rows(docs[:half], ids[:half], part, seq):
@@ -166,7 +164,9 @@ def shard_rows(docs: list, ids: list[bytes], part: int, seq: int) -> Iterator[di
     if len(alphabet) > _SYMBOLS:
         raise ValueError("a document with more than 65536 distinct ids needs wider symbols")
     base = len(alphabet)
-    symbols, rules = compress(symbols.astype(np.uint16), base)
+    places = np.zeros(len(seen), np.uint16)
+    places[alphabet] = np.arange(base)
+    symbols, rules = compress(places[whole], base)
     lengths = expansion_lengths(base, rules)
     marks = (np.cumsum(lengths[symbols]) - lengths[symbols])[::MARK_EVERY]
     starts = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])])
@@ -251,7 +251,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield from rows()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange(sized(texts, "text", 16), "doc_id", "text")
+    ordered = texts.repartitionByRange(sized(texts, "text", 16), "doc_id")
     ordered.sortWithinPartitions("doc_id", "text").mapInArrow(shards, DDL).write.parquet(path)
 
 
