@@ -84,7 +84,8 @@ def codes(hashes: Column) -> Column:
                     F.transform(picked, lambda x: F.struct(F.pmod(x, width), F.shiftright(x, 31).alias("e")))
                 )
                 tuple_hash = F.xxhash64(F.transform(ordered, lambda x: x["e"]))
-                return F.pmod(tuple_hash, F.lit(1 << 26)) * BINS + F.shiftright(F.get(rows, first), 57)
+                code = F.pmod(tuple_hash, F.lit(1 << 25)) * BINS + F.shiftright(F.get(rows, first), 57)
+                return code.cast("int")
 
             return _runs(rows, lambda x: F.shiftright(x, 57), run)
 
