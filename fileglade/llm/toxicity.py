@@ -21,8 +21,8 @@ from fileglade.llm.common import worker_path
 #: grade a third.
 SAMPLE = 9_000
 #: Words must occur in so many of them to have a weight; so many words have one at most.
-MIN_DOCS, MAX_WORDS = 8, 50_000
-L1, STEPS = 0.0008, 400
+MIN_DOCS, MAX_WORDS = 3, 50_000
+L1, STEPS = 0.002, 400
 #: A document is toxic from this expected severity on.
 TOXIC = 1.0
 GRADES = ("clean", "toxic", "toxic, often")
