@@ -15,7 +15,6 @@ from fileglade.functions.paths import (
 from fileglade.operators.ordering import first_per_group
 from fileglade.schema import (
     FRONTIER_DEPTH,
-    FRONTIER_MAX_DIRS,
     PREFETCH_CHILDREN,
     ROLLUP_MAX_GROUPS,
     TREE_CHILDREN,
@@ -86,8 +85,8 @@ def frontier(
     A path carries its own level, so the walk is a filter and not an iteration: the level below
     the nearest root is the smallest over all roots, and each directory has one row (any chain
     from a farther root runs through the nearest). Roots are level 0 whether or not the catalog
-    knows them. A directory below a missing DIR row is not reached; such gaps are looked for
-    first, with one pre-aggregated pass, and only if there are any does the result need joins.
+    knows them. A directory below a missing DIR row is not reached; such gaps come
+    from one pre-aggregated pass and leave by an anti-join.
     """
     starts = list(dict.fromkeys(normalize_prefix(r) for r in roots))
     start_rows = catalog.sparkSession.createDataFrame(
@@ -114,14 +113,18 @@ def _connected(below: DataFrame) -> DataFrame:
         .where(~F.col("known"))
         .select("step")
     )
-    if gaps.isEmpty():
-        return below
     return below.join(steps.join(gaps, "step").select("path"), "path", "left_anti")
 
 
-def capped_frontier(reached: DataFrame, max_dirs: int = FRONTIER_MAX_DIRS) -> DataFrame:
-    """The first ``max_dirs`` directories in level order."""
-    return reached.orderBy("level", "path").limit(max_dirs)
+def capped_frontier(reached: DataFrame, max_dirs: int | None = None) -> DataFrame:
+    """The first ``max_dirs`` directories in level order; all of them without a number."""
+    ordered = reached if max_dirs is None else reached.orderBy("level", "path").limit(max_dirs)
+    return ordered
+
+
+def left_out(reached: DataFrame, max_dirs: int | None) -> int:
+    """How many directories a capped frontier leaves out."""
+    return 0 if max_dirs is None else max(reached.count() - max_dirs, 0)
 
 
 def not_yet_materialised(wanted: DataFrame, ready: DataFrame) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileglade.functions.text import iso_time
-from fileglade.operators.ordering import nth_smallest
+from fileglade.operators.ordering import DEEP_PAGE_ROWS, nth_smallest, sorted_slice
 from fileglade.schema import (
-    LISTING_CAP,
     LISTING_COLUMNS,
     PAGE_DEFAULT,
     PAGE_MAX,
@@ -84,6 +83,7 @@ class Listing:
     total_files: int
     total_other: int
     truncated: bool
+    deep_page_rows: int = DEEP_PAGE_ROWS
 
     def sorted_rows(self, sort: str = "name", order: str = "asc") -> DataFrame:
         return self.rows.orderBy(*sort_order(sort, order))
@@ -95,10 +95,14 @@ class Listing:
         sort: str = "name",
         order: str = "asc",
     ) -> tuple[DataFrame, Page]:
-        """One page. ``orderBy``, offset and limit fuse into one top-k per task; the cap bounds
-        what a deep page can keep."""
+        """One page. Up to ``deep_page_rows`` leading rows are a top-k in each task; a page beyond
+        comes from a range sort with counted partitions, so no task holds what is before it."""
         wanted = page_of(self.total_rows, page, page_size)
-        rows = self.sorted_rows(sort, order).offset(wanted.offset).limit(wanted.size)
+        ordered = sort_order(sort, order)
+        if wanted.offset + wanted.size <= self.deep_page_rows:
+            rows = self.rows.orderBy(*ordered).offset(wanted.offset).limit(wanted.size)
+        else:
+            rows = sorted_slice(self.rows, ordered, wanted.offset, wanted.size)
         return rows, wanted
 
 
@@ -107,9 +111,9 @@ def open_listing(
     path: str,
     element: str = "all",
     name_contains: str = "",
-    cap: int = LISTING_CAP,
+    cap: int | None = None,
 ) -> Listing:
-    """Count one directory and cap it in name order.
+    """Count one directory and, if a cap is asked for, cut it in name order.
 
     The cap is a cut-off name, found by counting, and so a plain filter that the scan takes: no
     ordered limit of ``cap`` rows per task is ever built. Directories within the cap are counted
@@ -117,7 +121,7 @@ def open_listing(
     """
     rows = directory_rows(catalog, path, element, name_contains)
     counts = type_counts(rows).first()
-    truncated = counts["total_rows"] > cap
+    truncated = cap is not None and counts["total_rows"] > cap
     if truncated:
         last = nth_smallest(rows, "name", cap, counts["total_rows"])
         rows = rows.where(F.col("name") <= last)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fileglade.sources.storage import materialised
+
+#: Leading rows that a task may keep for one page.
+DEEP_PAGE_ROWS = 100_000
 _SMALL = 100_000
 _PICKS = 10_000
 _SALTS = 64
@@ -53,6 +59,30 @@ def nth_smallest(
     return window.orderBy(key).offset(n - 1).limit(1).first()[key]
 
 
+def sorted_slice(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of the sorted rows.
+
+    The rows are written once, range-sorted, with the number of their partition and their place in
+    it. The sizes of the partitions, a row for each, tell in which places the slice lies.
+    """
+    spark = rows.sparkSession
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialised(
+        rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), within.alias("_at")),
+        spark,
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    tests, before = [], 0
+    for part, n in sizes:
+        low, high = max(offset - before, 0), min(offset + size - before, n)
+        if low < high:
+            inside = (F.col("_at") >= low) & (F.col("_at") < high)
+            tests.append((F.col("_part") == part) & inside)
+        before += n
+    chosen = functools.reduce(operator.or_, tests, F.lit(False))
+    return placed.where(chosen).orderBy("_part", "_at").drop("_part", "_at")
+
+
 def first_per_group(
     rows: DataFrame, group: list[str], order: list[Column], n: int, salt: Column
 ) -> DataFrame:

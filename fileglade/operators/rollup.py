@@ -13,13 +13,14 @@ from fileglade.functions.paths import (
     normalize_prefix,
 )
 from fileglade.functions.text import human_size, iso_time
-from fileglade.schema import ROLLUP_CHILDREN, ROLLUP_MAX_DEPTH, ROLLUP_MAX_GROUPS
+from fileglade.schema import ROLLUP_MAX_DEPTH, ROLLUP_MAX_GROUPS
 from fileglade.sources.catalog import (
     PUSHED_PREFIXES,
     child_directories,
     subtree_files,
     under_any,
 )
+from fileglade.sources.storage import materialised
 
 
 class RollupTooWide(RuntimeError):
@@ -30,11 +31,13 @@ def too_wide_message(max_groups: int) -> str:
     return f"more than {max_groups} groups: reduce the depth or choose a smaller subtree"
 
 
-def check_request(path: str, depth: int, allow_root: bool = False) -> str:
+def check_request(
+    path: str, depth: int, allow_root: bool = False, max_depth: int = ROLLUP_MAX_DEPTH
+) -> str:
     """Validate a rollup request; returns the normalised prefix."""
     prefix = normalize_prefix(path)
-    if not 1 <= depth <= ROLLUP_MAX_DEPTH:
-        raise ValueError(f"depth {depth} is outside 1..{ROLLUP_MAX_DEPTH}")
+    if not 1 <= depth <= max_depth:
+        raise ValueError(f"depth {depth} is outside 1..{max_depth}")
     if prefix == "/" and not allow_root:
         raise PermissionError("a rollup of the entire namespace needs allow_root=True")
     return prefix
@@ -155,9 +158,8 @@ def is_too_wide(groups: DataFrame, max_groups: int = ROLLUP_MAX_GROUPS) -> bool:
 
 
 def children(groups: DataFrame, child_limit: int | None = None) -> DataFrame:
-    """Largest groups by bytes, ISO times, at most ``child_limit`` rows; the name breaks ties."""
-    k = min(child_limit or ROLLUP_CHILDREN, ROLLUP_MAX_GROUPS)
-    return ranked(groups).limit(k)
+    """Groups by bytes, largest first, ISO times; the name breaks ties. All, or ``child_limit``."""
+    return ranked(groups) if child_limit is None else ranked(groups).limit(child_limit)
 
 
 def ranked(groups: DataFrame) -> DataFrame:
@@ -183,10 +185,29 @@ def totals(groups: DataFrame) -> DataFrame:
     )
 
 
+def with_rank(groups: DataFrame) -> DataFrame:
+    """Groups by bytes with their ``rank``, from 1.
+
+    Sorted by ranges and written; a partition's rows follow those of all partitions before it,
+    whose sizes are the only thing that is gathered.
+    """
+    spark = groups.sparkSession
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ordered = groups.orderBy(F.desc("total_bytes"), F.asc("name"))
+    placed = materialised(
+        ordered.select("*", F.spark_partition_id().alias("_part"), within.alias("_at")), spark
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    rank = (F.col("_before") + F.col("_at") + 1).cast("bigint")
+    return placed.join(F.broadcast(before), "_part").withColumn("rank", rank).drop("_part", "_at", "_before")
+
+
 def with_share(top: DataFrame) -> DataFrame:
-    """Bytes relative to the largest of the (already limited) children, and as text."""
-    largest = F.greatest(F.lit(1), F.max("total_bytes").over(Window.partitionBy()))
-    return top.withColumn("max_bytes", largest).select(
+    """Bytes relative to the largest group given, and as text."""
+    largest = top.agg(F.greatest(F.lit(1), F.max("total_bytes")).alias("max_bytes"))
+    return top.withColumn("max_bytes", largest.scalar()).select(
         *top.columns,
         "max_bytes",
         (F.lit(100) * F.col("total_bytes") / F.col("max_bytes")).alias("share_percent"),

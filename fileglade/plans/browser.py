@@ -21,17 +21,14 @@ from fileglade.operators.hierarchy import (
 from fileglade.operators.listing import Listing, Page, entries, open_listing
 from fileglade.schema import (
     FRONTIER_DEPTH,
-    FRONTIER_MAX_DIRS,
-    LISTING_CAP,
     PREFETCH_CHILDREN,
-    ROLLUP_CHILDREN,
     ROLLUP_MAX_GROUPS,
     TREE_CHILDREN,
 )
 from fileglade.sinks.export import export_listing, export_rollup
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.catalog import child_directories
-from fileglade.sources.snapshots import SnapshotStore, SnapshotWatch
+from fileglade.sources.snapshots import SnapshotStore
 from fileglade.sources.storage import materialised
 from fileglade.streaming.refresh import SnapshotRefresh
 
@@ -60,7 +57,7 @@ class RollupResult:
         return ru.children(self.groups, child_limit)
 
     def children_truncated(self, child_limit: int | None = None) -> bool:
-        return self.total_children > min(child_limit or ROLLUP_CHILDREN, ROLLUP_MAX_GROUPS)
+        return child_limit is not None and self.total_children > child_limit
 
     def totals(self) -> DataFrame:
         return ru.totals(self.groups)
@@ -89,13 +86,12 @@ def envelope(top: DataFrame, totals: DataFrame, **facts) -> DataFrame:
             lambda item: item.c,
         ).alias("children")
     )
-    one = totals.select(F.struct(*totals.columns).alias("totals"))
+    one = totals.select(F.struct(*totals.columns).alias("totals")).scalar()
     constants = [
         F.lit(value).cast("string" if value is None else _kind(value)).alias(name)
         for name, value in facts.items()
     ]
-    # Both sides are one-row aggregates.
-    return nested.join(one).select(*constants, "children", "totals")
+    return nested.select(*constants, "children", one.alias("totals"))
 
 
 def _kind(value) -> str:
@@ -115,9 +111,8 @@ class CatalogBrowser:
         refresh: SnapshotRefresh | None = None,
         snapshot_prefix: str = "",
         pin: bool = True,
-        poll_seconds: float = 60.0,
         allow_root: bool = False,
-        listing_cap: int = LISTING_CAP,
+        listing_cap: int | None = None,
         max_groups: int = ROLLUP_MAX_GROUPS,
         newest: Callable[[], str | None] | None = None,
     ):
@@ -128,16 +123,12 @@ class CatalogBrowser:
         self.allow_root = allow_root
         self.listing_cap = listing_cap
         self.max_groups = max_groups
-        lookup = newest or (lambda: store.newest(snapshot_prefix))
-        self.watch = SnapshotWatch(lookup, pin, poll_seconds)
+        self.pin = pin
+        self.newest = newest or (lambda: store.newest(snapshot_prefix))
 
     def _catalog(self) -> tuple[DataFrame, str | None]:
         """One snapshot for everything a request reads."""
-        wanted = self.watch.current()
-        catalog, snapshot = self.store.read(wanted)
-        if wanted and snapshot is None:
-            self.watch.drop(wanted)
-        return catalog, snapshot
+        return self.store.read(self.newest() if self.pin else None)
 
     def _open(self, path: str, type: str, name_filter: str) -> tuple[Listing, str | None]:
         catalog, snapshot = self._catalog()
@@ -190,7 +181,7 @@ class CatalogBrowser:
         self,
         roots: list[str],
         depth: int = FRONTIER_DEPTH,
-        max_dirs: int = FRONTIER_MAX_DIRS,
+        max_dirs: int | None = None,
     ) -> str | None:
         """Make the listings of a frontier ready for the current snapshot, skipping those that
         are. Returns the snapshot; None, and nothing done, if reads are not pinned to one."""

@@ -29,6 +29,7 @@ CATALOG_SCHEMA = _catalog_schema(T.TimestampNTZType())
 # under spark.sql.legacy.parquet.nanosAsLong=true.
 CATALOG_SCHEMA_NS = _catalog_schema(T.LongType())
 
+# Columns and sort keys of a listing, as callers name them.
 LISTING_COLUMNS = [
     "name",
     "element_type",
@@ -45,18 +46,14 @@ SORT_KEYS = ("name", "size", "mtime", "atime", "owner_name")
 ELEMENT_FILTERS = ("all", "file", "dir", "other")
 
 # Default limits.
-LISTING_CAP = 500_000
 PAGE_MIN = 20
 PAGE_DEFAULT = 20
 PAGE_MAX = 100
 ROLLUP_MAX_GROUPS = 10_000
 ROLLUP_MAX_DEPTH = 8
-ROLLUP_CHILDREN = 500
 PREFETCH_CHILDREN = 8
 TREE_CHILDREN = 100
 FRONTIER_DEPTH = 2
-FRONTIER_MAX_DIRS = 500
-SNAPSHOT_POLL_SECONDS = 60.0
 
 VIEW_SCHEMA = T.StructType(
     [

@@ -75,8 +75,11 @@ class ListingStore:
         paths = todo.select(F.col("path").alias("parent_path"))
         if count <= _BROADCAST_DIRS:
             paths = F.broadcast(paths)
+        bounds = todo.agg(F.min("path"), F.max("path")).first()
+        parent = F.col("parent_path")
         rows = (
             catalog.select(*self.schema.names)
+            .where((parent >= bounds[0]) & (parent <= bounds[1]))
             .join(paths, "parent_path", "left_semi")
             .withColumn("shard", self._shard(F.col("parent_path")))
         )
@@ -99,15 +102,19 @@ class ListingStore:
 
     def rows(self, snapshot: str) -> DataFrame:
         """All ready rows of a snapshot; leftovers of failed runs are left out."""
-        ready = self.ready(snapshot).withColumnRenamed("path", "parent_path")
+        # Overlapping runs may both have stored a directory: the least part counts.
+        ready = self.ready(snapshot).groupBy("snapshot", F.col("path").alias("parent_path")).agg(
+            F.min("part").alias("part")
+        )
         keys = ["snapshot", "part", "parent_path"]
         return self._stored(f"snapshot={snapshot}").join(ready, keys, "left_semi")
 
     def directory(self, snapshot: str, path: str) -> DataFrame | None:
         """Catalog rows of one ready directory, or None if it has to come from the catalog."""
-        held = self.ready(snapshot).where(F.col("path") == path).first()
-        if held is None:
+        found = self.ready(snapshot).where(F.col("path") == path).select("part").collect()
+        if not found:
             return None
+        held = min(found)
         shard = F.col("shard") == self._shard(F.lit(path))
         return self._stored(f"snapshot={snapshot}", f"part={held['part']}").where(
             shard & (F.col("parent_path") == path)

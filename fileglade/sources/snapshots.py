@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import logging
 import re
-import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fileglade.schema import CATALOG_SCHEMA, SNAPSHOT_POLL_SECONDS
+from fileglade.schema import CATALOG_SCHEMA
 from fileglade.sources.catalog import catalog_reader, read_catalog, sorted_layout
 from fileglade.sources.storage import child_names, exists
 
@@ -55,7 +53,11 @@ class SnapshotStore:
         return f"{self.root}/snapshots/snapshot={name}"
 
     def publish(self, catalog: DataFrame, name: str) -> None:
+        """Write a snapshot once: a finished one is never changed, so what was derived from it
+        stays right. Left-overs of a failed try are written over."""
         folder = self._folder(name)
+        if self.usable(name):
+            raise FileExistsError(f"snapshot {name} is published already")
         sorted_layout(catalog.select(*self.schema.names)).write.mode("overwrite").parquet(folder)
         line = self.spark.range(1).coalesce(1).select(F.lit(name).alias("value"))
         line.write.mode("append").text(self.announcements)
@@ -94,40 +96,3 @@ class SnapshotStore:
             log.warning("snapshot %s is absent or unfinished: using the live table", snapshot)
         live = read_catalog(self.spark, f"{self.root}/live", self.schema)
         return live.withColumn("snapshot", F.lit(None).cast("string")), None
-
-
-class SnapshotWatch:
-    """The snapshot to pin, looked up at most once per poll interval.
-
-    A failed lookup keeps the previous answer; with pinning off the answer is always None.
-    """
-
-    def __init__(
-        self,
-        newest: Callable[[], str | None],
-        pin: bool = True,
-        poll_seconds: float = SNAPSHOT_POLL_SECONDS,
-    ):
-        self._newest = newest
-        self._pin = pin
-        self._poll = poll_seconds
-        self._current: str | None = None
-        self._checked = float("-inf")
-
-    def current(self) -> str | None:
-        if not self._pin:
-            return None
-        now = time.monotonic()
-        if now - self._checked >= self._poll:
-            self._checked = now
-            try:
-                self._current = self._newest()
-            except Exception as error:
-                log.warning("no snapshot lookup (%s), staying with %s", error, self._current)
-        return self._current
-
-    def drop(self, snapshot: str) -> None:
-        """Forget a snapshot that turned out unusable, so that the next call looks again."""
-        if self._current == snapshot:
-            self._current = None
-            self._checked = float("-inf")

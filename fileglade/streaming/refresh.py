@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fileglade.functions.paths import normalize_prefix
-from fileglade.operators.hierarchy import capped_frontier, frontier
-from fileglade.operators.rollup import rollup_many
-from fileglade.schema import FRONTIER_DEPTH, FRONTIER_MAX_DIRS
+from fileglade.operators.hierarchy import capped_frontier, frontier, left_out
+from fileglade.operators.rollup import check_request, rollup_many
+from fileglade.schema import FRONTIER_DEPTH
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore
 from fileglade.sources.storage import child_names, exists, make_folder
 
+log = logging.getLogger(__name__)
+
 _COUNTS = ("file_count", "total_bytes", "total_used")
 
 
@@ -27,7 +30,7 @@ class RefreshPlan:
     rollups: list[tuple[str, int]]
     roots: list[str] = field(default_factory=list)
     depth: int = FRONTIER_DEPTH
-    max_dirs: int = FRONTIER_MAX_DIRS
+    max_dirs: int | None = None
 
 
 class SnapshotRefresh:
@@ -50,6 +53,8 @@ class SnapshotRefresh:
         self.store = store
         self.root = root.rstrip("/")
         self.plan = plan
+        for prefix, depth in plan.rollups:
+            check_request(prefix, depth, allow_root=True)
         self.listings = ListingStore(spark, f"{self.root}/listings", shards, store.schema)
 
     def start(self, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -65,10 +70,12 @@ class SnapshotRefresh:
         )
 
     def _batch(self, arrivals: DataFrame, _batch_id: int) -> None:
-        names = [r["value"] for r in arrivals.distinct().orderBy("value").collect()]
-        for name in names:
-            if self.store.usable(name):
-                self.refresh(name)
+        """Any arrival brings all usable snapshots up to date: an announcement that was lost, or
+        came before its snapshot could be read, is made up for by the next one."""
+        if arrivals.isEmpty():
+            return
+        for name in self.store.names():
+            self.refresh(name)
 
     def finished(self, name: str) -> bool:
         return exists(self.spark, f"{self.root}/current/{name}/_SUCCESS")
@@ -81,11 +88,17 @@ class SnapshotRefresh:
         rollup_many(catalog, self.plan.rollups).write.mode("overwrite").parquet(
             f"{self.root}/rollups/snapshot={name}"
         )
+        left = 0
         if self.plan.roots:
             reached = frontier(catalog, self.plan.roots, self.plan.depth)
             wanted = capped_frontier(reached, self.plan.max_dirs)
+            left = left_out(reached, self.plan.max_dirs)
             self.listings.add(catalog, wanted, name, part="refresh")
-        marker = self.spark.range(1).coalesce(1).select(F.lit(name).alias("snapshot"))
+            if left:
+                log.warning("snapshot %s: %d directories were left out", name, left)
+        marker = self.spark.range(1).coalesce(1).select(
+            F.lit(name).alias("snapshot"), F.lit(left).cast("bigint").alias("dirs_left")
+        )
         marker.write.mode("overwrite").parquet(f"{self.root}/current/{name}")
 
     def current(self) -> str | None:

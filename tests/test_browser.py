@@ -6,8 +6,8 @@ from fileglade.schema import CATALOG_SCHEMA_NS
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore
 
-FIRST = "files_2026-08-12_18_01_26_UTC"
-SECOND = "files_2026-08-12_18_16_25_UTC"
+FIRST = "files_2031-02-03_04_05_06_UTC"
+SECOND = "files_2031-02-03_16_00_00_UTC"
 
 
 def files(count, folder="/p/"):
@@ -24,7 +24,7 @@ def store(spark, make, tmp_path):
 
 
 def test_listing_request(spark, make, store):
-    browser = CatalogBrowser(spark, store, poll_seconds=0)
+    browser = CatalogBrowser(spark, store)
     shown = browser.listing("p", page=2, page_size=20, sort="size", order="desc")
     assert (shown.path, shown.snapshot) == ("/p/", FIRST)
     assert (shown.page.number, shown.page.pages, shown.listing.total_rows) == (2, 2, 31)

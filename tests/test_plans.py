@@ -1,5 +1,7 @@
 """The physical plans that make the operators cheap on a big table."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def test_subtree_scan_is_pushed_down(stored):
 
 def test_rollup_has_one_shuffle_and_reads_no_file_names(stored):
     groups = R.rollup_groups(stored, "/lineitem/", 2)
-    text = plan(R.children(groups))
+    text = plan(R.children(groups, 500))
     assert text.count("Exchange") == 1 and "Join" not in text
     assert "partial_sum" in text and "TakeOrderedAndProject" in text
     files, seeds = text.split("FileScan")[1:]
@@ -58,9 +60,23 @@ def test_cap_is_a_pushed_filter(stored):
     assert "LessThanOrEqual(name," in text and "Limit" not in text
 
 
-def test_frontier_needs_no_shuffle(stored):
-    text = plan(H.frontier(stored, ["/lineitem/", "/documents/"], 2))
-    assert "Exchange" not in text and "Join" not in text
+def test_frontier_is_planned_without_a_job(stored):
+    tracker = stored.sparkSession.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    near = plan(H.frontier(stored, ["/lineitem/", "/documents/"], 1))
+    assert "Exchange" not in near and "Join" not in near
+    assert "LeftAnti" in plan(H.frontier(stored, ["/lineitem/", "/documents/"], 2))
+    assert set(tracker.getJobIdsForGroup()) == before
+
+
+def test_deep_pages_come_from_a_range_sort(stored):
+    found = L.open_listing(stored, "/events/")
+    near, at = found.page(4, 20, "size", "desc")
+    deep = dataclasses.replace(found, deep_page_rows=10)
+    rows, again = deep.page(4, 20, "size", "desc")
+    assert again == at and rows.collect() == near.collect()
+    last, end = deep.page(10**6, 20)
+    assert last.count() == found.total_rows - end.offset
 
 
 def test_first_children_are_cut_before_the_shuffle(stored):

@@ -9,8 +9,8 @@ from fileglade.schema import CATALOG_SCHEMA_NS
 from fileglade.sources.snapshots import SnapshotStore
 from fileglade.streaming.refresh import RefreshPlan, SnapshotRefresh
 
-FIRST = "files_2026-08-12_18_01_26_UTC"
-SECOND = "files_2026-08-12_18_16_25_UTC"
+FIRST = "files_2031-02-03_04_05_06_UTC"
+SECOND = "files_2031-02-03_16_00_00_UTC"
 
 
 def tree(count):

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from fileglade.schema import CATALOG_SCHEMA_NS
 from fileglade.sources.catalog import read_catalog
-from fileglade.sources.snapshots import SnapshotStore, SnapshotWatch, newest_snapshot
+from fileglade.sources.snapshots import SnapshotStore, newest_snapshot
 
-FIRST = "files_2026-08-12_18_01_26_UTC"
-SECOND = "files_2026-08-12_18_16_25_UTC"
-THIRD = "files_2026-08-12_19_01_25_UTC"
+FIRST = "files_2031-02-03_04_05_06_UTC"
+SECOND = "files_2031-02-03_16_00_00_UTC"
+THIRD = "files_2031-02-04_10_20_30_UTC"
 
 
 def test_newest_snapshot_of_a_listing(spark):
@@ -63,38 +63,15 @@ def test_snapshot_names_are_checked(make, store):
         store.publish(make([("/", "x", "FILE")]), "../evil")
 
 
-def test_watch_polls_once_per_interval():
-    calls = []
-
-    def lookup():
-        calls.append(1)
-        return f"s{len(calls)}"
-
-    watch = SnapshotWatch(lookup, poll_seconds=60)
-    assert [watch.current(), watch.current()] == ["s1", "s1"] and len(calls) == 1
-    watch.drop("s0")
-    assert watch.current() == "s1"
-    watch.drop("s1")
-    assert watch.current() == "s2" and len(calls) == 2
-    eager = SnapshotWatch(lookup, poll_seconds=0)
-    assert [eager.current(), eager.current()] == ["s3", "s4"]
-
-
-def test_watch_without_pinning_never_looks():
-    def lookup():
-        raise AssertionError
-
-    assert SnapshotWatch(lookup, pin=False).current() is None
-
-
-def test_watch_keeps_the_previous_name_when_a_lookup_fails():
-    answers = iter(["s1"])
-    watch = SnapshotWatch(lambda: next(answers), poll_seconds=0)
-    assert [watch.current(), watch.current()] == ["s1", "s1"]
+def test_snapshots_are_written_once(make, store):
+    store.publish(make([("/", "x", "FILE")]), FIRST)
+    with pytest.raises(FileExistsError):
+        store.publish(make([]), FIRST)
+    assert store.read(FIRST)[0].count() == 1
 
 
 def test_nanosecond_parquet_times(spark, tmp_path):
-    nanos = 1_500_000_000_123_456_789
+    nanos = 1_712_345_678_987_654_321
     columns = {
         "parent_path": ["/"],
         "name": ["a"],

@@ -96,7 +96,7 @@ def _with(body: str, *ctes: str, recursive: bool = False) -> str:
 # ---- listings ----------------------------------------------------------------------------------
 
 
-def _listing(path: str, where: str = "TRUE", cap: int = 500_000) -> str:
+def _listing(path: str, where: str = "TRUE", cap: int = 10**15) -> str:
     """CTEs ``matching`` (all rows) and ``kept`` (capped rows)."""
     return f"""
 matching AS (
@@ -105,13 +105,13 @@ matching AS (
 ), kept AS (SELECT * FROM matching WHERE rn <= {cap})"""
 
 
-def _whole(path: str, where: str = "TRUE", cap: int = 500_000) -> str:
+def _whole(path: str, where: str = "TRUE", cap: int = 10**15) -> str:
     return _with(
         f"SELECT {_SHOWN}, n_all > {cap} AS truncated FROM kept", _listing(path, where, cap)
     )
 
 
-def _page(path: str, order: str, page: int, size: int, cap: int = 500_000) -> str:
+def _page(path: str, order: str, page: int, size: int, cap: int = 10**15) -> str:
     return _with(
         f"""SELECT {_SHOWN}, CAST(this_page AS INTEGER) AS page, CAST(pages AS INTEGER) AS pages
 FROM ranked WHERE pos > (this_page - 1) * {size} AND pos <= this_page * {size}""",
@@ -137,7 +137,7 @@ def _meta(path: str, page: int, size: int) -> str:
     return _with(
         f"""SELECT n AS total_rows, d AS total_dirs, f AS total_files, n - d - f AS total_other,
        CAST(least({page}, pages) AS BIGINT) AS page, CAST({size} AS BIGINT) AS page_size,
-       CAST(pages AS BIGINT) AS pages, n > 500000 AS truncated
+       CAST(pages AS BIGINT) AS pages, FALSE AS truncated
 FROM (SELECT *, greatest(1, (n + {size - 1}) // {size}) AS pages FROM counted) q""",
         _listing(path),
         """counted AS (
@@ -283,6 +283,21 @@ def _first_children(n: int) -> str:
     )
 
 
+def _annotated(k: str, cut: str) -> str:
+    """A page with the totals of the ``k`` largest groups; ``cut`` tells whether there are more."""
+    return _with(
+        f"""SELECT p.name, p.element_type, p.size, t.file_count AS rollup_files,
+  t.total_bytes AS rollup_bytes, CASE WHEN p.element_type = 'DIR' THEN
+    CASE WHEN t.name IS NOT NULL THEN 'stats' WHEN {cut} THEN 'truncated' ELSE 'newer' END
+  END AS rollup_state
+FROM (SELECT * FROM kept ORDER BY {_FILES_LAST}, name LIMIT 100) p
+LEFT JOIN (SELECT * FROM roll ORDER BY total_bytes DESC, name LIMIT {'1000000000' if k == 'ALL' else k}) t
+  ON p.element_type = 'DIR' AND p.name = t.name""",
+        _listing("/documents/"),
+        _rollup_ctes("/documents/", 1),
+    )
+
+
 ORACLES: dict[str, str] = {
     "catalog_scan": _with(
         "SELECT parent_path, name, size FROM cat WHERE element_type = 'FILE' "
@@ -419,11 +434,24 @@ FROM roll ORDER BY total_bytes DESC, name LIMIT 5""",
   {_human('total_bytes')} AS size_text FROM roll""",
         _rollup_ctes("/documents/", 1),
     ),
+    "rollup_share_wide": f"""
+WITH roll AS (
+  SELECT 'c' || o_custkey AS name, count(*) AS file_count,
+         CAST(sum(floor(o_totalprice)) AS BIGINT) AS total_bytes,
+         CAST(sum(floor(o_totalprice)) AS BIGINT) AS total_used,
+         max(o_orderdate) AS mtime, max(o_orderdate) AS atime
+  FROM orders GROUP BY o_custkey)
+SELECT {_GROUP}, greatest(1, max(total_bytes) OVER ()) AS max_bytes,
+  100 * total_bytes / greatest(1, max(total_bytes) OVER ()) AS share_percent,
+  {_human('total_bytes')} AS size_text FROM roll""",
     "rollup_envelope": _with(
         f"""SELECT CAST(to_json(e) AS VARCHAR) AS envelope FROM (
   SELECT '/orders/' AS path, '{OLDER}' AS catalog_snapshot,
+    (SELECT CAST(sum(file_count) AS BIGINT) FROM roll) AS rows_scanned,
+    (SELECT count(*) FROM roll) AS total_children,
+    (SELECT count(*) > 2 FROM roll) AS children_truncated,
     (SELECT list(c ORDER BY c.total_bytes DESC, c.name)
-     FROM (SELECT {_GROUP} FROM roll) c) AS children,
+     FROM (SELECT {_GROUP} FROM roll ORDER BY total_bytes DESC, name LIMIT 2) c) AS children,
     (SELECT t FROM (SELECT {_TOTALS} FROM roll) t) AS totals) e""",
         _rollup_ctes("/orders/", 1),
     ),
@@ -514,15 +542,14 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 <> 0 THEN
         _DIRS,
         _first_children(5),
     ),
-    "listing_annotated": _with(
-        """SELECT p.name, p.element_type, p.size, t.file_count AS rollup_files,
-  t.total_bytes AS rollup_bytes, CASE WHEN p.element_type = 'DIR' THEN
-    CASE WHEN t.name IS NOT NULL THEN 'stats' ELSE 'truncated' END END AS rollup_state
-FROM (SELECT * FROM kept ORDER BY CASE WHEN element_type = 'DIR' THEN 0 ELSE 1 END, name LIMIT 100) p
-LEFT JOIN (SELECT * FROM roll ORDER BY total_bytes DESC, name LIMIT 12) t
-  ON p.element_type = 'DIR' AND p.name = t.name""",
+    "listing_annotated": _annotated("12", "(SELECT count(*) > 12 FROM roll)"),
+    "listing_annotated_complete": _annotated("ALL", "FALSE"),
+    "listing_unannotated": _with(
+        f"""SELECT name, element_type, size, CAST(NULL AS BIGINT) AS rollup_files,
+  CAST(NULL AS BIGINT) AS rollup_bytes,
+  CASE WHEN element_type = 'DIR' THEN 'none' END AS rollup_state
+FROM kept ORDER BY {_FILES_LAST}, name LIMIT 100""",
         _listing("/documents/"),
-        _rollup_ctes("/documents/", 1),
     ),
     "tree_annotated": _with(
         f"""SELECT d.path, CASE WHEN d.parent_path = '/lineitem/' THEN

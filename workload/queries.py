@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fileglade.functions import paths as P
@@ -12,7 +12,7 @@ from fileglade.functions import text as X
 from fileglade.operators import annotate, hierarchy, listing
 from fileglade.operators import rollup as ru
 from fileglade.plans.browser import envelope
-from fileglade.schema import LISTING_CAP, ROLLUP_COLUMNS
+from fileglade.schema import ROLLUP_COLUMNS
 from fileglade.sinks import export
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources import catalog as cat
@@ -24,8 +24,8 @@ from fileglade.streaming.refresh import RefreshPlan, SnapshotRefresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-OLDER = "files_2026-08-12_18_01_26_UTC"
-NEWER = "files_2026-08-12_19_01_25_UTC"
+OLDER = "files_2031-02-03_04_05_06_UTC"
+NEWER = "files_2031-02-04_10_20_30_UTC"
 EVENTS_CAP = 1000
 MANY_ROLLUPS = [("/", 2), ("/documents/", 1), ("/orders/", 2), ("/lineitem/A/", 2), ("/home/", 1)]
 MANY_ROOTS = [f"/documents/src{i}/" for i in range(40)] + ["/lineitem/", "/lineitem/A/"]
@@ -199,7 +199,7 @@ def csv_safe(spark, tables):
 # ---- listings ----------------------------------------------------------------------------------
 
 
-def _page(path: str, cap: int = LISTING_CAP, **request) -> Query:
+def _page(path: str, cap: int | None = None, **request) -> Query:
     def query(spark, tables):
         source = derived_catalog(spark, tables, path)
         found = listing.open_listing(source, path, cap=cap)
@@ -210,7 +210,7 @@ def _page(path: str, cap: int = LISTING_CAP, **request) -> Query:
 
 
 def _whole(
-    path: str, element: str = "all", name_filter: str = "", cap: int = LISTING_CAP
+    path: str, element: str = "all", name_filter: str = "", cap: int | None = None
 ) -> Query:
     def query(spark, tables):
         source = derived_catalog(spark, tables, path)
@@ -331,20 +331,43 @@ def rollup_topk(spark, tables):
 
 
 def rollup_ranked(spark, tables):
-    groups = ru.guarded(_groups(spark, tables, "/", 3))
-    by_size = Window.orderBy(F.desc("total_bytes"), F.asc("name"))
-    rank = F.row_number().over(by_size).cast("bigint")
-    return ru.ranked(groups.withColumn("rank", rank)).drop("total_children")
+    return ru.ranked(ru.with_rank(_groups(spark, tables, "/", 3)))
 
 
 def rollup_share(spark, tables):
     return ru.with_share(ru.children(_groups(spark, tables, "/documents/", 1)))
 
 
+def rollup_share_wide(spark, tables):
+    """More groups than any default limit: a directory for each customer."""
+    placed = F.col("o_custkey").cast("string")
+    source = _table(spark, tables, "orders").select(
+        F.concat(F.lit("/customers/c"), placed, F.lit("/")).alias("parent_path"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.lit("FILE").alias("element_type"),
+        F.floor("o_totalprice").cast("bigint").alias("size"),
+        F.floor("o_totalprice").cast("bigint").alias("used"),
+        F.col("o_orderdate").alias("mtime"),
+        F.col("o_orderdate").alias("atime"),
+        F.lit("user").alias("owner_name"),
+        F.lit("").alias("extension"),
+        F.lit(1).cast("bigint").alias("nlinks"),
+    )
+    return ru.with_share(ru.children(ru.rollup_groups(source, "/customers/", 1)))
+
+
 def rollup_envelope(spark, tables):
-    groups = ru.guarded(_groups(spark, tables, "/orders/", 1))
+    groups = materialised(_groups(spark, tables, "/orders/", 1), spark)
+    seen = groups.agg(F.sum("file_count").alias("files"), F.count(F.lit(1)).alias("n")).first()
+    k = 2
     whole = envelope(
-        ru.children(groups), ru.totals(groups), path="/orders/", catalog_snapshot=OLDER
+        ru.children(groups, k),
+        ru.totals(groups),
+        path="/orders/",
+        catalog_snapshot=OLDER,
+        rows_scanned=seen["files"],
+        total_children=seen["n"],
+        children_truncated=seen["n"] > k,
     )
     text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
     return whole.select(text.alias("envelope"))
@@ -477,22 +500,29 @@ def tree_level(spark, tables):
     return hierarchy.tree_levels(derived_catalog(spark, tables), 5)
 
 
-def listing_annotated(spark, tables):
+def _annotated(k: int | None) -> Query:
+    def query(spark, tables):
+        source = derived_catalog(spark, tables, "/documents/")
+        rows, _ = listing.open_listing(source, "/documents/").page(1, 100)
+        groups = materialised(ru.rollup_groups(source, "/documents/", 1), spark)
+        cut = k is not None and ru.is_too_wide(groups, k)
+        shown = rows.select("name", "element_type", "size")
+        return annotate.annotated_listing(shown, ru.children(groups, k), children_truncated=cut)
+
+    return query
+
+
+def listing_unannotated(spark, tables):
     source = derived_catalog(spark, tables, "/documents/")
-    found = listing.open_listing(source, "/documents/")
-    rows, _ = found.page(1, 100)
-    groups = ru.guarded(ru.rollup_groups(source, "/documents/", 1))
-    k = 12
-    top = ru.children(groups, k)
-    shown = rows.select("name", "element_type", "size")
-    return annotate.annotated_listing(shown, top, children_truncated=True)
+    rows, _ = listing.open_listing(source, "/documents/").page(1, 100)
+    return annotate.annotated_listing(rows.select("name", "element_type", "size"), None)
 
 
 def tree_annotated(spark, tables):
     source = derived_catalog(spark, tables)
     nodes = hierarchy.directories(source).select("path")
     k = 3
-    top = ru.children(ru.guarded(ru.rollup_groups(source, "/lineitem/", 1)), k)
+    top = ru.children(ru.rollup_groups(source, "/lineitem/", 1), k)
     return annotate.annotated_tree(nodes, top, "/lineitem/")
 
 
@@ -551,6 +581,7 @@ QUERIES: dict[str, Query] = {
     "rollup_topk": rollup_topk,
     "rollup_ranked": rollup_ranked,
     "rollup_share": rollup_share,
+    "rollup_share_wide": rollup_share_wide,
     "rollup_envelope": rollup_envelope,
     "rollup_all_dirs": rollup_all_dirs,
     "normalize_prefix": normalize_prefix,
@@ -568,6 +599,8 @@ QUERIES: dict[str, Query] = {
     "listing_ready": listing_ready,
     "first_children": first_children,
     "tree_level": tree_level,
-    "listing_annotated": listing_annotated,
+    "listing_annotated": _annotated(12),
+    "listing_annotated_complete": _annotated(None),
+    "listing_unannotated": listing_unannotated,
     "tree_annotated": tree_annotated,
 }
