@@ -19,7 +19,7 @@ from fileglade.llm.common import worker_path
 
 #: Labelled documents that the model is fitted on at most: those of least hashed doc_id, for each
 #: grade a third.
-SAMPLE = 9_000
+SAMPLE = 6_000
 #: Words must occur in so many of them to have a weight; so many words have one at most.
 MIN_DOCS, MAX_WORDS = 3, 50_000
 L1, STEPS = 0.002, 400
@@ -64,9 +64,9 @@ def fit(features: list[list[str]], grades: np.ndarray, l1: float = L1, steps: in
     seen = Counter(w for f in features for w in f)
     vocabulary = sorted((w for w, c in seen.items() if c >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
     number = {w: i for i, w in enumerate(vocabulary)}
-    pairs = [(r, number[w]) for r, f in enumerate(features) for w in f if w in number]
-    row = np.array([p[0] for p in pairs], np.int64)
-    col = np.array([p[1] for p in pairs], np.int64)
+    own = [np.array([number[w] for w in f if w in number], np.int32) for f in features]
+    row = np.repeat(np.arange(n), [len(x) for x in own])
+    col = np.concatenate([np.zeros(0, np.int32), *own])
     if not n or len(set(grades.tolist())) < 2:
         return OrdinalModel({}, np.full(top, 20.0))
     share = np.bincount(grades, minlength=top + 1)
@@ -140,7 +140,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> pd.DataFra
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> OrdinalModel:
     """Fits on a bounded sample of labelled documents, which the driver holds."""
     found = sample(docs, labels, rows)
-    bags = [words(t or "") for t in found["text"]]
+    shared: dict[str, str] = {}  # one copy of each word for all bags
+    bags = [
+        Counter({shared.setdefault(w, w): c for w, c in words(t or "").items()}) for t in found["text"]
+    ]
     toxic = found["toxic"].to_numpy(dtype=bool)
     marked = marked_words(bags, toxic) if len(bags) else set()
     grades = np.array([grade_of(t, b, marked) for t, b in zip(toxic, bags, strict=True)], np.int64)
