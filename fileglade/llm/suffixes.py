@@ -97,6 +97,27 @@ def contexts(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.nd
     return out
 
 
+def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different row of bytes, and for each row the number of its like.
+
+    Rows are told apart by a hash, which is then compared in full; should two different rows share
+    one, the bytes themselves are sorted. Equal input gives equal numbers.
+    """
+    n, width = found.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = found
+    words = padded.view(np.uint64)
+    code = np.zeros(n, np.uint64)
+    for k in range(words.shape[1]):
+        code = mix(code * np.uint64(_FACTOR) + words[:, k])
+    _, head, which = np.unique(code, return_index=True, return_inverse=True)
+    which = which.ravel()
+    if n and not (words[head[which]] == words).all():
+        rows = np.ascontiguousarray(found).view(f"V{width}").ravel()
+        _, head, which = np.unique(rows, return_index=True, return_inverse=True)
+    return head, which.ravel()
+
+
 def window_owners(found: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The least document of each context's window with ``a`` bytes before the anchor, by ``a``.
 
@@ -153,18 +174,23 @@ class _Group:
         self.part, self.code = join(part), join(hashes, np.uint64)
 
     def shared(self, hits: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors among ``hits``: their indexes, the different contexts, the context of
+        """Of the anchors among ``hits``, which ascend: their indexes, the different contexts, the context of
         each, and a bucket for each context."""
-        own = np.flatnonzero(np.isin(_short(self.code, buckets), hits))
+        short = _short(self.code, buckets)
+        # A table of low bits first: most anchors are in no other text, and need no search.
+        mask = np.uint64((1 << 22) - 1)
+        known = np.zeros(1 << 22, bool)
+        known[(hits & mask).astype(np.int64)] = True
+        own = np.flatnonzero(known[(short & mask).astype(np.int64)])
+        own = own[_among(short[own], hits)]
         found = np.zeros((len(own), 2 + LEFT + LENGTH), np.uint8)
         for i, (_, _, data, _) in enumerate(self.parts):
             here = np.flatnonzero(self.part[own] == i)
             at = own[here]
             found[here] = contexts(data, self.place[at], self.first[at], self.last[at])
-        rows = found.view(f"V{found.shape[1]}").ravel() if len(own) else np.zeros(0, f"V{found.shape[1]}")
-        different, head, which = np.unique(rows, return_index=True, return_inverse=True)
+        head, which = distinct(found)
         bucket = (self.code[own][head] % np.uint64(buckets)).astype(np.int64)
-        return own, different.view(np.uint8).reshape(-1, found.shape[1]), which.ravel(), bucket
+        return own, found[head], which, bucket
 
 
 def _short(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -173,6 +199,13 @@ def _short(code: np.ndarray, buckets: int) -> np.ndarray:
     return bucket << np.uint64(40) | code >> np.uint64(24)
 
 
+def _among(x: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``hits``, which ascend; the work doesn't grow with unused hits."""
+    if not len(hits):
+        return np.zeros(len(x), bool)
+    return hits[np.minimum(np.searchsorted(hits, x), len(hits) - 1)] == x
+
+
 def _packed(short: np.ndarray) -> bytes:
     return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -260,7 +293,7 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True, carry: str | None = N
         every, count = np.unique(np.concatenate(once + often), return_counts=True)
         several = np.unique(np.concatenate(often))
         hits = np.union1d(every[count > 1], several)
-        mine = [np.concatenate([x[np.isin(x, hits)], y]) for x, y in zip(once, often, strict=True)]
+        mine = [np.concatenate([x[_among(x, hits)], y]) for x, y in zip(once, often, strict=True)]
         some = [i for i, m in enumerate(mine) if len(m)]
         return _table(_HITS, {
             "g": [g[i] for i in some], "bucket": [bucket] * len(some), "hits": [_packed(mine[i]) for i in some],
@@ -293,7 +326,10 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True, carry: str | None = N
         numbers = column("numbers", "<u4")
         found = np.concatenate(column("contexts", "u1")).reshape(-1, 2 + LEFT + LENGTH)
         least, greatest = np.concatenate(column("least", "<i8")), np.concatenate(column("greatest", "<i8"))
-        owner = window_owners(found, least)
+        head, which = distinct(found)
+        first = np.full(len(head), LAST)
+        np.minimum.at(first, which, least)
+        owner = window_owners(found[head], first)[which]
         sender = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
         number = np.concatenate(numbers)
         lose = owner < greatest[:, None]
