@@ -8,6 +8,9 @@ from fileglade.llm import (
     fingerprints, lines, lmscore, neardup, packing, pieces, quality, repair, suffixes, toxicity,
 )
 from fileglade.llm.common import materialised, table
+from fileglade.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_sentencepiece(spark, tables):
@@ -63,4 +66,3 @@ QUERIES = {
         op8_prob_minhash, op9_packing, op10_suffix_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
