@@ -230,7 +230,7 @@ _ANCHORS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("once", pa.bin
 _HITS = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("hits", pa.binary())])
 _CONTEXTS = pa.schema(
     [("bucket", pa.int64()), ("g", pa.int64())]
-    + [(c, pa.binary()) for c in ("contexts", "numbers", "least", "greatest")]
+    + [(c, pa.binary()) for c in ("contexts", "numbers", "least", "span")]
 )
 _OWNERS = pa.schema([("g", pa.int64())] + [(c, pa.binary()) for c in ("numbers", "low", "high", "owner")])
 _RESULT = pa.schema(
@@ -316,7 +316,7 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True, carry: str | None = N
             "contexts": [found[p].tobytes() for p in parts],
             "numbers": [p.astype("<u4").tobytes() for p in parts],
             "least": [least[p].astype("<i8").tobytes() for p in parts],
-            "greatest": [greatest[p].astype("<i8").tobytes() for p in parts],
+            "span": [(greatest - least)[p].astype("<i8").tobytes() for p in parts],
         })
 
     def sort_contexts(key: tuple, table: pa.Table) -> pa.Table:
@@ -325,7 +325,8 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = True, carry: str | None = N
 
         numbers = column("numbers", "<u4")
         found = np.concatenate(column("contexts", "u1")).reshape(-1, 2 + LEFT + LENGTH)
-        least, greatest = np.concatenate(column("least", "<i8")), np.concatenate(column("greatest", "<i8"))
+        least = np.concatenate(column("least", "<i8"))
+        greatest = least + np.concatenate(column("span", "<i8"))  # mostly zeros, which shrink when sent
         head, which = distinct(found)
         first = np.full(len(head), LAST)
         np.minimum.at(first, which, least)
