@@ -1,18 +1,21 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides.
 
-The vocabulary is the most frequent words of the corpus and, for all others, hashed classes. The
+The symbols are the most frequent words of the corpus and, for all others, hashed classes. The
 network adds an embedding for each of the two tokens on either side, applies tanh and predicts the
-token between by a softmax. Every partition trains on all of its texts, from the same start; the
-parameters are averaged by tokens, natively. The score is the sum of log-probabilities.
+symbol between by a softmax. Every partition trains on all of its texts, from the same start; the
+parameters are averaged by tokens, natively. A word without a symbol of its own has the probability
+of its class times its share of the class in the corpus, from a table of all words that is joined
+on Spark. The score is the sum of log-probabilities.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileglade.llm.common import materialised, worker_path
@@ -31,17 +34,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Tokens:
-    """Token ids of texts: 0 stands for a text's edges, then the top words, then hashed classes."""
+    """Token ids of texts: 0 stands for a text's edges, then the top words, then hashed classes.
+
+    Words are bytes between ASCII blanks, as in ``word_counts``.
+    """
 
     def __init__(self, top: list[str], hashed: int = HASHED) -> None:
         self.size = 1 + len(top) + hashed
-        known = {w: i + 1 for i, w in enumerate(top)}
+        self.known = known = {w.encode(): i + 1 for i, w in enumerate(top)}
 
-        def number(word: str) -> int:
+        def number(word: bytes) -> int:
             own = known.get(word)
             if own is None:
                 value = 0
-                for b in word.encode():
+                for b in word:
                     value = (value * 257 + b + 1) & 0xFFFFFFFF
                 own = 1 + len(known) + (value * 2654435761 >> 16 & 0xFFFF) % hashed
             return own
@@ -49,9 +55,18 @@ class Tokens:
         self._numbers = Memo(number, 200_000)
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.split()
+        return self.numbers(text.encode().split())
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words))
 
+    def hashed(self, words: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The different words that have no id of their own, and how often each occurs."""
+        found = Counter(words)
+        for word in self.known.keys() & found.keys():
+            del found[word]
+        return list(found), list(found.values())
+
 
 def start(size: int) -> np.ndarray:
     """The parameters before training, alike for every partition."""
@@ -162,53 +177,114 @@ def train(docs: DataFrame, top: list[str]) -> np.ndarray:
     return flat
 
 
+def _most_frequent(counts: DataFrame, top: int = TOP) -> list[str]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
+
+
 def vocabulary(docs: DataFrame, top: int = TOP) -> list[str]:
     """The most frequent words; ties in the order of the words."""
-    counts = materialised(word_counts(docs), docs.sparkSession)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
+    return _most_frequent(materialised(word_counts(docs), docs.sparkSession), top)
 
 
-def scores(docs: DataFrame, top: list[str], flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, ``log_likelihood`` (summed) and ``mean_log_likelihood`` of each text.
+def word_shares(counts: DataFrame, top: list[str]) -> DataFrame:
+    """word and ``log_share``, the log of its share of its class, for every word with no symbol of
+    its own in the written table ``counts``."""
+    spark = counts.sparkSession
+    worker_path(spark)
 
-    A text without words, null ones too, has the sum 0 and a null mean. Repeated rows and null
-    doc_ids are kept.
-    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(top)
+        for frame in frames:
+            symbol = tokens.numbers([w.encode() for w in frame["word"]])
+            frame = frame.assign(symbol=symbol)
+            yield frame[symbol > len(top)]
+
+    classed = materialised(counts.mapInPandas(run, "word string, n long, symbol int"), spark)
+    totals = classed.groupBy("symbol").agg(F.sum("n").alias("total"))  # a row for each class
+    share = F.log(F.col("n") / F.col("total"))
+    return classed.join(F.broadcast(totals), "symbol").select("word", share.alias("log_share"))
+
+
+def _rated(docs: DataFrame, top: list[str], flat: np.ndarray, words: bool) -> DataFrame:
+    """doc_id, n_tokens and the summed log-probability of the symbols of each text; with ``words``,
+    also a number for the row, and its words without a symbol of their own with their counts."""
     worker_path(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(top)
         net = Network(flat, tokens.size)
-        for frame in frames:
-            ids = [tokens.ids(t if isinstance(t, str) else "") for t in frame["text"]]
+
+        def rated(frame: pd.DataFrame, ids: list[np.ndarray], rare: list[tuple]) -> pd.DataFrame:
             counts = np.array([len(i) for i in ids], np.int64)
+            around, target = windows(ids)
+            found = [
+                net.log_probabilities(around[:, a : a + STEP_TOKENS], target[a : a + STEP_TOKENS])
+                for a in range(0, len(target), STEP_TOKENS)
+            ]
             total = np.zeros(len(ids))
-            first = 0
-            while first < len(ids):
-                room = np.cumsum(counts[first:])
-                end = first + max(1, int(np.searchsorted(room, 16 * STEP_TOKENS, side="right")))
-                around, target = windows(ids[first:end])
-                found = [
-                    net.log_probabilities(around[:, a : a + STEP_TOKENS], target[a : a + STEP_TOKENS])
-                    for a in range(0, len(target), STEP_TOKENS)
-                ]
-                if found:
-                    owner = np.repeat(np.arange(first, end), counts[first:end])
-                    total += np.bincount(owner, np.concatenate(found), minlength=len(ids))
-                first = end
-            mean = pd.Series(total / np.maximum(counts, 1)).where(counts > 0)
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "n_tokens": counts,
-                "log_likelihood": total, "mean_log_likelihood": mean,
-            })
+            if found:
+                owner = np.repeat(np.arange(len(ids)), counts)
+                total += np.bincount(owner, np.concatenate(found), minlength=len(ids))
+            out = {"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": counts, "log_symbols": total}
+            if words:
+                out |= {"row": frame["row"], "words": [w for w, _ in rare], "counts": [n for _, n in rare]}
+            return pd.DataFrame(out)
 
+        for frame in frames:
+            first, ids, rare, waiting = 0, [], [], 0
+            for i, text in enumerate(frame["text"]):
+                split = text.encode().split() if isinstance(text, str) else []
+                if ids and waiting + len(split) > 16 * STEP_TOKENS:
+                    yield rated(frame[first:i], ids, rare)
+                    first, ids, rare, waiting = i, [], [], 0
+                ids.append(tokens.numbers(split))
+                waiting += len(split)
+                if words:
+                    rare.append(tokens.hashed(split))
+            if ids:
+                yield rated(frame[first:], ids, rare)
+
+    names, schema = ["doc_id", "text"], "doc_id long, n_tokens long, log_symbols double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(
-        run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    if words:
+        rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", *names)
+        schema += ", row long, words array<binary>, counts array<int>"
+    return rows.mapInPandas(run, schema)
+
+
+def _results(rated: DataFrame, total: Column) -> DataFrame:
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return rated.select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood")
     )
 
 
+def scores(docs: DataFrame, top: list[str], flat: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, ``log_likelihood`` (summed) and ``mean_log_likelihood`` of the symbols of
+    each text: of a word without a symbol of its own, only its class.
+
+    A text without words, null ones too, has the sum 0 and a null mean. Repeated rows and null
+    doc_ids are kept.
+    """
+    return _results(_rated(docs, top, flat, words=False), F.col("log_symbols"))
+
+
+def word_scores(docs: DataFrame, top: list[str], flat: np.ndarray, shares: DataFrame) -> DataFrame:
+    """Like ``scores``, with the probability of every word itself.
+
+    ``shares`` must have all words of the texts. Words are counted for each text before they are
+    joined; a word outside the top is a small part of all words, so no key is hot.
+    """
+    rated = materialised(_rated(docs, top, flat, words=True), docs.sparkSession)
+    rare = rated.select("row", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    rare = rare.select("row", F.col("e.words").cast("string").alias("word"), F.col("e.counts").alias("n"))
+    own = rare.join(shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log_share")).alias("own"))
+    joined = rated.drop("words", "counts").join(own, "row", "left")
+    return _results(joined, F.col("log_symbols") + F.coalesce("own", F.lit(0.0)))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """Vocabulary, training and scores over all documents."""
-    top = vocabulary(docs)
-    return scores(docs, top, train(docs, top))
+    counts = materialised(word_counts(docs), docs.sparkSession)
+    top = _most_frequent(counts)
+    return word_scores(docs, top, train(docs, top), word_shares(counts, top))

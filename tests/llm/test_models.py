@@ -1,12 +1,13 @@
 """Toxicity by held-out accuracy, window network by its probabilities, and the pipeline."""
 
 import os
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
 from fileglade.llm import lmscore, toxicity
-from fileglade.llm.common import table
+from fileglade.llm.common import materialised, table
 
 SF = os.environ.get("TEST_SF_DIR_LLM", "/root/testdata/sf0.1")
 
@@ -56,6 +57,55 @@ def test_window_network(documents, edge, empty):
     assert lmscore.scored(empty).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark, documents):
+    texts = ["na ba " * 30 + f"rare{i} rare{i % 3} mid{i % 2}\u00a0x" for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.unionByName(docs.limit(3)).unionByName(documents.select("doc_id", "text"))
+    rows = [tuple(r) for r in docs.collect()]
+    words = Counter(w for _, t in rows for w in t.encode().split())
+    counts = materialised(lmscore.word_counts(docs), spark)
+    top = [r.word for r in counts.orderBy("n", ascending=False).limit(20).collect()]
+    tokens = lmscore.Tokens(top)
+    symbol = dict(zip(words, tokens.numbers(list(words)).tolist(), strict=True))
+    classes = Counter()
+    for w, n in words.items():
+        classes[symbol[w]] += n
+
+    flat = lmscore.train(docs, top)
+    shares = lmscore.word_shares(counts, top)
+    shared = {r.word.encode(): r.log_share for r in shares.collect()}
+    assert set(shared) == {w for w in words if symbol[w] > len(top)}
+    for k in range(len(top) + 1, tokens.size):
+        own = [np.exp(x) for w, x in shared.items() if symbol[w] == k]
+        assert not own or abs(sum(own) - 1) < 1e-9
+
+    plain = sorted(tuple(r) for r in lmscore.scores(docs, top, flat).select("doc_id", "log_likelihood").collect())
+    whole = sorted(
+        tuple(r) for r in lmscore.word_scores(docs, top, flat, shares).select("doc_id", "log_likelihood").collect()
+    )
+    rows.sort(key=lambda r: (r[0], r[1]))
+    by_id = {}
+    for d, t in rows:
+        rare = sum(np.log(words[w] / classes[symbol[w]]) for w in t.encode().split() if symbol[w] > len(top))
+        by_id.setdefault(d, []).append(rare)
+    for d, rares in by_id.items():
+        added = sum(y for i, y in whole if i == d) - sum(x for i, x in plain if i == d)
+        assert abs(added - sum(rares)) < 1e-6 * max(1, abs(sum(rares)))
+    assert len(whole) == len(plain) == len(rows)
+
+
+def test_garbage_in_the_same_class_scores_lower(spark):
+    tokens = lmscore.Tokens([])
+    kind = tokens.ids("common")[0]
+    other = next(w for w in (f"zz{i}" for i in range(9999)) if tokens.ids(w)[0] == kind)
+    # More words than symbols, so that both words are only in a class.
+    fill = " ".join(f"t{i} t{i} t{i} t{i} t{i} t{i}" for i in range(lmscore.TOP))
+    texts = [fill, "a common b", f"a {other} b", "common common"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.log_likelihood for r in lmscore.scored(docs).collect()}
+    assert abs(found[1] - found[2] - np.log(3)) < 1e-3
+
+
 def test_pipeline(spark, documents, edge, empty):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
