@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fileglade.llm.common import materialised, salted_join
 
 #: A line goes if it is on this share of its host's pages or more, and on MIN_COUNT of them.
-RATIO, MIN_COUNT, MIN_PAGES = 0.1, 5, 20
+RATIO, MIN_COUNT = 0.1, 5
 VISIBLE = r"[^\x20\x09-\x0D]"
 
 
@@ -20,8 +20,7 @@ def page_lines(docs: DataFrame, host: str) -> DataFrame:
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_count: int = MIN_COUNT,
-    min_pages: int = MIN_PAGES,
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_count: int = MIN_COUNT
 ) -> DataFrame:
     """The boilerplate of each host, written: host, line, share of the host's pages.
 
@@ -30,7 +29,8 @@ def boilerplate(
     """
     spark = docs.sparkSession
     totals = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    totals = materialised(totals.filter(F.col("pages") >= min_pages), spark)
+    # A host with fewer pages than ``min_count`` can't have such a line.
+    totals = materialised(totals.filter(F.col("pages") >= min_count), spark)
     counts = page_lines(docs, host).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = salted_join(counts.filter(F.col("n") >= min_count), totals, ["host"], F.col("line"))
     share = F.col("n") / F.col("pages")

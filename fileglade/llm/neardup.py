@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Elements of a text are its five-word shingles, weighted by how often they occur. Each element
-sends a Poisson process of arrivals at the rate of its weight to random registers; a register
-keeps the element that arrives first. Two texts agree in a register with the probability of their
-probability Jaccard similarity. A text's process ends early: an element whose next arrival is
-later than all its registers has no further say.
+Elements of a text are its different five-word shingles. Each element sends a Poisson process of
+arrivals at the rate of its weight to random registers; a register keeps the element that arrives
+first. Two texts agree in a register with the probability of their probability Jaccard similarity;
+all weights are 1 here, which makes it the Jaccard similarity of the sets, the one verified. A
+text's process ends early: an element whose next arrival is later than all its registers has no
+further say.
 """
 
 from __future__ import annotations
@@ -70,9 +71,9 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         for batch in batches:
             for first, end, data, at in slices(batch["text"]):
                 row, value = shingle_hashes(data, at)
-                row, value, count = counted(row, value)
+                row, value, _ = counted(row, value)
                 n = end - first
-                signature = prob_minhash(row, value, count.astype(np.float64), n, bands * rows)
+                signature = prob_minhash(row, value, np.ones(len(row)), n, bands * rows)
                 keys = band_keys(signature, bands, rows)
                 empty = np.bincount(row, minlength=n) == 0
                 offsets = np.arange(0, (n + 1) * bands, bands, dtype=np.int32)

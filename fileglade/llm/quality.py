@@ -21,7 +21,7 @@ MIN_WORDS, MAX_REPEATED_PCT = 10, 20
 STEPS, FLOOR = 8, 1 / 1024
 #: Groups with fewer documents use the merged sketch of their language, or of all documents.
 MIN_GROUP = 50
-#: A value above both ``q3 * FACTOR`` and its rule's least threshold is an outlier.
+#: A value above both ``q3 * FACTOR`` (up to HIGHEST) and its rule's least threshold is an outlier.
 QUANTILE, FACTOR = 0.75, 4.0
 #: Rules on ratios, with the least threshold that outliers of a tight group must pass too.
 RULES = {
@@ -29,6 +29,9 @@ RULES = {
     "dup_line_ratio": 0.30,  # lines equal to an earlier one, of lines with a word
     "word_length": 18.0,  # characters for each word
 }
+#: The highest limits, so that a group with much junk can't raise its own until nothing fails.
+#: Words have none: scripts without blanks have long ones.
+HIGHEST = {"symbol_ratio": 0.16, "dup_line_ratio": 0.60}
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -160,10 +163,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         .when(F.col("lt") >= MIN_GROUP, F.col("le"))
         .otherwise(F.col("ae"))
     )
-    least = F.lit(None).cast("double")
+    least = highest = F.lit(None).cast("double")
     for rule, value in RULES.items():
         least = F.when(F.col("rule") == rule, F.lit(value)).otherwise(least)
-    limit = F.greatest(edge * FACTOR, least)
+        highest = F.when(F.col("rule") == rule, F.lit(HIGHEST.get(rule))).otherwise(highest)
+    limit = F.greatest(F.least(edge * FACTOR, highest), least)
     return rows.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("rule") == r, limit)).alias(f"max_{r}") for r in RULES]
     )

@@ -56,6 +56,18 @@ def test_classes_of_odd_rows(edge, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_copies_that_repeat_a_line_differently(spark):
+    rows = []
+    for i in range(12):
+        text, line = (" ".join(f"{c}{i}_{k}" for k in range(n)) for c, n in (("w", 500), ("m", 10)))
+        for j, n in enumerate((20, 200)):
+            rows.append((2 * i + j, "\n".join([text, *[line] * n])))
+    found = {r.doc_id: r.class_id for r in neardup.classes(
+        spark.createDataFrame(rows, "doc_id long, text string")
+    ).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(0)
     element = rng.integers(1, 2**63, 300).astype(np.uint64)

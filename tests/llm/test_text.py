@@ -42,6 +42,21 @@ def test_outliers_of_a_group_go(spark, documents):
     assert {r.doc_id for r in rows if not r.kept and not r.base_failed} == {5000}
 
 
+def test_much_junk_does_not_raise_its_own_limit(spark):
+    rows = []
+    for share in (3, 7):  # tenths of a source that are junk
+        for i in range(100):
+            words = [f"word{i}x{k}" for k in range(60)]
+            bad = i % 10 < share
+            symbols = " ".join(w + "***" * bad for w in words)
+            doubled = "\n".join(w + "\na\nb\nc\nd" * bad for w in words)  # no five words repeat
+            for kind, text in (("symbols", symbols), ("lines", doubled)):
+                rows.append((len(rows), text, "en", f"{kind}{share}", bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bad boolean")
+    for r in quality.judged(docs).collect():
+        assert r.kept != r.bad and not r.base_failed
+
+
 def test_sketches_merge(documents):
     found = quality.measure(documents)
     whole = quality.sketches(found)
@@ -68,6 +83,15 @@ def test_lines(documents, edge, empty):
     assert lines.without_boilerplate(empty).count() == 0
 
 
+def test_lines_of_small_hosts(spark):
+    rows = [(i, f"own line {i}\nfooter", "ten") for i in range(10)]
+    rows += [(20 + i, f"own line {i}\nfooter", "four") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in lines.without_boilerplate(docs).collect():
+        assert r.n_dropped == (r.source == "ten")
+        assert r.text == f"own line {r.doc_id % 20}" + "\nfooter" * (r.source == "four")
+
+
 def test_edited_texts_and_likeness(documents, edge, empty):
     texts = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").collect()]
     rows = {r.doc_id: r for r in fingerprints.edited_pairs(documents).collect()}
