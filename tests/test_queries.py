@@ -1,12 +1,15 @@
 """Every registered query against its SQL, on the same tables."""
 
+import os
+
 import duckdb
 import pytest
-from conftest import SF
 
 from workload.queries import QUERIES
 from __spark_entry__ import entry, oracle_sql, queries
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
