@@ -103,4 +103,51 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM based b JOIN verdicts v ON b.doc_id = v.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_LINE_DEDUP, "op7_quality_rules": OP7_QUALITY_RULES}
+OP13_URL_FILTERS = r"""
+WITH split AS (
+    SELECT row_number() OVER () AS rk, page_id, lower(coalesce(url, '')) AS low,
+           translate(coalesce(regexp_extract(url, '^(?s).*?://([^/?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^(?s).*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+),
+sites(rule_host, rule_path, site_verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+           ('org', '/fr/', 'allow')
+),
+fits AS (
+    SELECT rk, rule, site_verdict FROM (
+        SELECT rk, rule_host || rule_path AS rule, site_verdict,
+               row_number() OVER (PARTITION BY rk ORDER BY length(rule_host || rule_path) DESC,
+                                  rule_host || rule_path DESC) AS place
+        FROM split JOIN sites
+             ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    ) WHERE place = 1
+),
+patterns(id, verdict, pattern, regex) AS (
+    VALUES (0, 'block', '||spam-farm.*', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?spam-farm\.'),
+           (1, 'block', '||cheap-pills^', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?cheap-pills([^a-z0-9_.%-]|$)'),
+           (2, 'block', 'adult-x.', 'adult-x\.'),
+           (3, 'block', '/ads/*', '/ads/'),
+           (4, 'block', '^banner^', '([^a-z0-9_.%-]|$)banner([^a-z0-9_.%-]|$)'),
+           (5, 'block', '*utm_source=feed', 'utm_source=feed'),
+           (6, 'block', '|http://*/go.php?*', '^http://(?s).*/go\.php\?'),
+           (7, 'allow', '||help.*/faq^', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?help\.(?s).*/faq([^a-z0-9_.%-]|$)'),
+           (8, 'block', '*.exe|', '\.exe$')
+),
+hits AS (
+    SELECT rk, min(id) FILTER (WHERE verdict = 'allow') AS allow_id, min(id) AS any_id
+    FROM split JOIN patterns ON regexp_matches(low, regex)
+    GROUP BY rk
+)
+SELECT s.page_id, s.host, s.path, f.rule,
+       coalesce(f.site_verdict, p.verdict, 'allow') AS verdict,
+       CASE WHEN f.rule IS NULL THEN p.pattern END AS pattern
+FROM split s LEFT JOIN fits f ON s.rk = f.rk
+     LEFT JOIN hits h ON s.rk = h.rk
+     LEFT JOIN patterns p ON p.id = coalesce(h.allow_id, h.any_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_LINE_DEDUP, "op7_quality_rules": OP7_QUALITY_RULES, "op13_url_filters": OP13_URL_FILTERS,
+}
