@@ -148,6 +148,40 @@ FROM split s LEFT JOIN fits f ON s.rk = f.rk
      LEFT JOIN patterns p ON p.id = coalesce(h.allow_id, h.any_id)
 """
 
+OP11_HARD_NEGATIVES = r"""
+WITH clean AS (
+    SELECT DISTINCT vec_id::BIGINT AS vec_id,
+           (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label,
+           coalesce(list_sum([a.q[i] * r.q[i] FOR i IN range(1, least(len(a.q), len(r.q)) + 1)]), 0)::BIGINT AS score,
+           (a.vec_id = r.vec_id AND a.q = r.q AND a.label = r.label) AS own
+    FROM clean a, clean r
+    WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT * FROM (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+               row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+        FROM scores WHERE label = anchor_label AND NOT own
+    ) WHERE place <= 5
+),
+windows AS (
+    SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+         AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM windows WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": OP11_HARD_NEGATIVES,
     "op6_line_dedup": OP6_LINE_DEDUP, "op7_quality_rules": OP7_QUALITY_RULES, "op13_url_filters": OP13_URL_FILTERS,
 }
