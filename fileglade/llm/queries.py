@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fileglade.llm import (
-    fingerprints, lines, lmscore, neardup, negatives, packing, pieces, quality, repair, suffixes, toxicity, urlrules,
+    fingerprints, lines, lmscore, neardup, negatives, packing, pieces, quality, repair, suffixes, toxicity, urlrules, variants,
 )
 from fileglade.llm.common import materialised, table
 from fileglade.llm.oracles import ORACLES
@@ -63,6 +63,10 @@ def op11_hard_negatives(spark, tables):
     return negatives.mined(table(spark, tables, "embeddings"))
 
 
+def op12_spelling_variants(spark, tables):
+    return variants.grouped(table(spark, tables, "documents"))
+
+
 def op13_url_filters(spark, tables):
     return urlrules.judged(table(spark, tables, "pages"))
 
@@ -72,6 +76,6 @@ QUERIES = {
     for f in (
         op1_sentencepiece, op2_toxicity, op3_lm_score, op4_repair, op5_order_minhash, op6_line_dedup, op7_quality_rules,
         op8_prob_minhash, op9_packing, op10_suffix_dedup, op11_hard_negatives,
-        op13_url_filters,
+        op12_spelling_variants, op13_url_filters,
     )
 }
