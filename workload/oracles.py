@@ -6,7 +6,7 @@ a recursive walk, pages and caps from row numbers.
 
 from __future__ import annotations
 
-from workload.queries import EVENTS_CAP, MANY_ROLLUPS, MANY_ROOTS, NEWER, OLDER
+from workload.queries import EVENTS_CAP, INCREMENTAL_ROLLUPS, MANY_ROLLUPS, MANY_ROOTS, NEWER, OLDER
 
 _CATALOG = """
 files AS (
@@ -216,6 +216,29 @@ SELECT '{OLDER}' AS snapshot, *, FALSE AS is_current FROM ({older}) b""",
     )
 
 
+_NEWCAT = """newcat AS (
+  SELECT parent_path, name, element_type,
+         CASE WHEN element_type = 'FILE' AND ends_with(name, '5.csv') THEN size * 2 + 1 ELSE size END AS size,
+         used,
+         CASE WHEN element_type = 'FILE' AND ends_with(name, '5.csv') THEN mtime + INTERVAL 1 DAY
+              ELSE mtime END AS mtime,
+         atime, owner_name, extension, nlinks
+  FROM cat
+  WHERE NOT (element_type = 'FILE' AND (ends_with(name, '3.dat') OR starts_with(parent_path, '/orders/F/')))
+  UNION ALL
+  SELECT parent_path, name || '.bak', element_type, size, used, mtime, atime, owner_name, extension, nlinks
+  FROM cat WHERE element_type = 'FILE' AND ends_with(name, '1.csv')
+  UNION ALL
+  SELECT '/documents/', 'fresh-empty', 'DIR', 4096, 4096, NULL, NULL, 'root', '', 2
+)"""
+
+
+def _refresh_incremental() -> str:
+    """A full rollup of the changed catalog."""
+    ctes, body = _several(INCREMENTAL_ROLLUPS)
+    return _with(body, _NEWCAT, *[c.replace("FROM cat ", "FROM newcat ") for c in ctes])
+
+
 def _snapshot_totals(snapshot: str, used: str) -> str:
     return _with(
         f"""SELECT {snapshot} AS snapshot, element_type, count(*) AS n,
@@ -318,6 +341,7 @@ ORACLES: dict[str, str] = {
     "snapshot_pinned_read": _snapshot_totals(f"'{OLDER}'", "size"),
     "snapshot_fallback": _snapshot_totals("CAST(NULL AS VARCHAR)", "used"),
     "snapshot_refresh": _snapshot_refresh(),
+    "refresh_incremental": _refresh_incremental(),
     "views_normalised": """
 SELECT CASE WHEN c_custkey % 4 <> 0 THEN c_name
             WHEN c_custkey % 3 = 0 THEN 'alias-' || c_custkey
