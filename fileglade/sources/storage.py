@@ -48,6 +48,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a storage folder and what is in it, if there is one."""
+    filesystem, target = _filesystem(spark, path)
+    if filesystem.exists(target):
+        filesystem.delete(target, True)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     filesystem, target = _filesystem(spark, path)
     filesystem.mkdirs(target)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from dataclasses import dataclass, field
 
@@ -12,11 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fileglade.functions.paths import normalize_prefix
 from fileglade.operators.hierarchy import capped_frontier, frontier, left_out
+from fileglade.operators.incremental import directory_state, refreshed_groups
 from fileglade.operators.rollup import check_request, rollup_many
 from fileglade.schema import FRONTIER_DEPTH
 from fileglade.sinks.listings import ListingStore
 from fileglade.sources.snapshots import SnapshotStore
-from fileglade.sources.storage import child_names, exists, make_folder
+from fileglade.sources.storage import child_names, exists, make_folder, materialised, remove
 
 log = logging.getLogger(__name__)
 
@@ -38,7 +40,13 @@ class SnapshotRefresh:
 
     A micro-batch only names snapshots; their rows are read again as a batch from the committed
     folder, so half a snapshot is never aggregated. Each snapshot has its own folders and is
-    finished once; a replayed batch completes what failed and leaves the rest alone.
+    finished once for a plan; a replayed batch completes what failed and leaves the rest alone.
+    The marker names the plan's rollups and roots: a snapshot finished under a smaller plan is
+    refreshed again for the larger one, and until then only the rollups it holds are served.
+
+    Rollups are incremental: beside its groups each snapshot keeps the state of its directories,
+    and the next one starts from the newest earlier snapshot finished with the same rollups,
+    folding in only the directories that changed (see :mod:`fileglade.operators.incremental`).
     """
 
     def __init__(
@@ -74,30 +82,71 @@ class SnapshotRefresh:
         came before its snapshot could be read, is made up for by the next one."""
         if arrivals.isEmpty():
             return
-        for name in self.store.names():
+        for name in sorted(self.store.names()):
             self.refresh(name)
 
     def finished(self, name: str) -> bool:
         return exists(self.spark, f"{self.root}/current/{name}/_SUCCESS")
 
+    def _pairs(self) -> list[str]:
+        return sorted({f"{normalize_prefix(p)}|{d}" for p, d in self.plan.rollups})
+
+    def _roots_key(self) -> str:
+        text = f"{sorted(self.plan.roots)}|{self.plan.depth}|{self.plan.max_dirs}"
+        return hashlib.sha1(text.encode()).hexdigest()[:12]
+
+    def _marker(self, name: str):
+        """The marker row of a finished snapshot, or None."""
+        if not self.finished(name):
+            return None
+        return self.spark.read.parquet(f"{self.root}/current/{name}").first()
+
+    def _covers(self, name: str) -> bool:
+        marker = self._marker(name)
+        if marker is None or "pairs" not in marker.asDict():
+            return False
+        roots = marker["roots_key"] == self._roots_key() or not self.plan.roots
+        return set(self._pairs()) <= set(marker["pairs"] or []) and roots
+
+    def _previous(self, name: str) -> str | None:
+        """The newest earlier snapshot finished with exactly this plan's rollups and a state."""
+        earlier = sorted((n for n in child_names(self.spark, f"{self.root}/current") if n < name), reverse=True)
+        for other in earlier:
+            marker = self._marker(other)
+            if marker is not None and "pairs" in marker.asDict() and sorted(marker["pairs"] or []) == self._pairs():
+                if exists(self.spark, f"{self.root}/dirs/snapshot={other}/_SUCCESS"):
+                    return other
+        return None
+
     def refresh(self, name: str) -> None:
-        """Write the outputs of one snapshot unless they are all there."""
-        if self.finished(name):
+        """Write the outputs of one snapshot unless they are all there for this plan."""
+        if self._covers(name):
             return
+        remove(self.spark, f"{self.root}/current/{name}")  # not served while it is redone
         catalog, _ = self.store.read(name)
-        rollup_many(catalog, self.plan.rollups).write.mode("overwrite").parquet(
-            f"{self.root}/rollups/snapshot={name}"
-        )
+        state = materialised(directory_state(catalog, self.plan.rollups), self.spark)
+        before = self._previous(name)
+        if before is None:
+            groups = rollup_many(catalog, self.plan.rollups)
+        else:
+            old = self.rollups(before).drop("snapshot")
+            old_state = self.spark.read.parquet(f"{self.root}/dirs/snapshot={before}")
+            groups = refreshed_groups(catalog, self.plan.rollups, old, old_state, state)
+        groups.write.mode("overwrite").parquet(f"{self.root}/rollups/snapshot={name}")
+        state.write.mode("overwrite").parquet(f"{self.root}/dirs/snapshot={name}")
         left = 0
         if self.plan.roots:
             reached = frontier(catalog, self.plan.roots, self.plan.depth)
             wanted = capped_frontier(reached, self.plan.max_dirs)
             left = left_out(reached, self.plan.max_dirs)
-            self.listings.add(catalog, wanted, name, part="refresh")
+            self.listings.add(catalog, wanted, name, part=f"refresh-{self._roots_key()}")
             if left:
                 log.warning("snapshot %s: %d directories were left out", name, left)
         marker = self.spark.range(1).coalesce(1).select(
-            F.lit(name).alias("snapshot"), F.lit(left).cast("bigint").alias("dirs_left")
+            F.lit(name).alias("snapshot"),
+            F.lit(left).cast("bigint").alias("dirs_left"),
+            F.array(*[F.lit(p) for p in self._pairs()]).cast("array<string>").alias("pairs"),
+            F.lit(self._roots_key()).alias("roots_key"),
         )
         marker.write.mode("overwrite").parquet(f"{self.root}/current/{name}")
 
@@ -126,8 +175,8 @@ class SnapshotRefresh:
 
     def groups(self, snapshot: str, prefix: str, depth: int) -> DataFrame | None:
         """One refreshed rollup, or None if it has to be computed."""
-        kept = {(normalize_prefix(p), d) for p, d in self.plan.rollups}
-        if (prefix, depth) not in kept or not self.finished(snapshot):
+        marker = self._marker(snapshot)
+        if marker is None or f"{prefix}|{depth}" not in set(marker.asDict().get("pairs") or []):
             return None
         wanted = (F.col("prefix") == prefix) & (F.col("depth") == depth)
         return self.rollups(snapshot).where(wanted).drop("snapshot", "prefix", "depth")
