@@ -19,7 +19,14 @@ from fileglade.schema import (
     ROLLUP_MAX_GROUPS,
     TREE_CHILDREN,
 )
-from fileglade.sources.catalog import PUSHED_PREFIXES, under_any
+from fileglade.sources.catalog import (
+    PUSHED_PREFIXES,
+    in_ranges,
+    innermost_intervals,
+    innermost_prefix,
+    prefix_ranges,
+    under_any,
+)
 
 
 def directories(catalog: DataFrame) -> DataFrame:
@@ -100,6 +107,32 @@ def frontier(
     return start_rows.unionByName(below.select("path", "level"))
 
 
+def frontier_ranges(catalog: DataFrame, roots: list[str], depth: int = FRONTIER_DEPTH) -> DataFrame:
+    """:func:`frontier` for any number of roots, read by key ranges.
+
+    Roots inside other roots are dropped from the scan; the rest become sorted, disjoint key
+    ranges of ``parent_path``, which reach the Parquet reader as they are, so two far branches
+    never read what lies between them. Each directory finds its nearest root by a binary search
+    in the intervals that nested roots cut the ranges into: no join, no shuffle, and the work for
+    a row grows with the logarithm of the number of roots.
+    """
+    starts = list(dict.fromkeys(normalize_prefix(r) for r in roots))
+    start_rows = catalog.sparkSession.createDataFrame([(p, 0) for p in starts], "path string, level bigint")
+    if depth < 1 or not starts:
+        return start_rows
+    scanned = catalog.where(in_ranges("parent_path", prefix_ranges(starts)))
+    nearest = innermost_prefix(F.col("parent_path"), innermost_intervals(starts))
+    found = directories(scanned).withColumn("root", nearest).where(F.col("root").isNotNull())
+    level = component_count(F.col("path")) - component_count(F.col("root"))
+    below = found.withColumn("level", level.cast("bigint")).where(F.col("level") <= depth)
+    below = below.where(~F.col("path").isin(starts)) if len(starts) <= ROLLUP_MAX_GROUPS else below.join(
+        start_rows.select("path"), "path", "left_anti"
+    )
+    if depth > 1:
+        below = _connected(below)
+    return start_rows.unionByName(below.select("path", "level"))
+
+
 def _connected(below: DataFrame) -> DataFrame:
     """Directories whose chain up to their root has no missing row."""
     path, root = F.col("path"), F.col("root")

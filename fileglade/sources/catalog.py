@@ -101,6 +101,79 @@ def under_any(prefixes: list[str]) -> Column:
     return functools.reduce(operator.or_, below, F.lit(False))
 
 
+def _after(prefix: str) -> str:
+    """The least text greater than every text that starts with ``prefix``."""
+    return prefix[:-1] + chr(ord(prefix[-1]) + 1)
+
+
+def prefix_ranges(prefixes: list[str]) -> list[tuple[str, str]]:
+    """Sorted, disjoint ``[low, high)`` ranges of texts holding exactly the texts that start with
+    one of the prefixes; a prefix inside another adds nothing."""
+    ranges: list[tuple[str, str]] = []
+    for prefix in sorted(set(prefixes)):
+        if ranges and prefix.startswith(ranges[-1][0]):
+            continue
+        ranges.append((prefix, _after(prefix)))
+    return ranges
+
+
+def in_ranges(column: str, ranges: list[tuple[str, str]]) -> Column:
+    """Row filter for a list of ranges, as a balanced tree of comparisons the Parquet reader takes."""
+    tests = [(F.col(column) >= low) & (F.col(column) < high) for low, high in ranges]
+    if not tests:
+        return F.lit(False)
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + ([tests[-1]] if len(tests) % 2 else [])
+    return tests[0]
+
+
+def innermost_intervals(prefixes: list[str]) -> list[tuple[str, str]]:
+    """Sorted disjoint intervals ``(start, prefix)``: from ``start`` on, up to the next start,
+    texts belong to the innermost of the prefixes that hold them (an empty prefix: none).
+
+    Nested prefixes cut their outer range into pieces, so there are at most twice as many
+    intervals as prefixes and a text finds its innermost prefix by one search.
+    """
+    points: list[tuple[str, str]] = []
+    stack: list[str] = []
+    for prefix in sorted(set(prefixes)):
+        while stack and not prefix.startswith(stack[-1]):
+            done = stack.pop()
+            points.append((_after(done), stack[-1] if stack else ""))
+        points.append((prefix, prefix))
+        stack.append(prefix)
+    while stack:
+        done = stack.pop()
+        points.append((_after(done), stack[-1] if stack else ""))
+    merged: dict[str, str] = {}
+    for start, owner in points:
+        merged[start] = owner  # the last word on a start holds from there on
+    return sorted(merged.items())
+
+
+def innermost_prefix(column: Column, intervals: list[tuple[str, str]]) -> Column:
+    """The innermost prefix holding the text, by binary search in the intervals; null if none."""
+    if not intervals:
+        return F.lit(None).cast("string")
+    starts = F.array(*[F.lit(s) for s, _ in intervals])
+    owners = F.array(*[F.lit(o) for _, o in intervals])
+    steps = max(1, (len(intervals)).bit_length())
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = ((acc["low"] + acc["high"] + 1) / 2).cast("int")
+        fits = (middle >= 1) & F.coalesce(F.get(starts, middle - 1) <= column, F.lit(False))
+        return F.struct(
+            F.when(fits, middle).otherwise(acc["low"]).alias("low"),
+            F.when(fits, acc["high"]).otherwise(middle - 1).alias("high"),
+        )
+
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(intervals)).alias("high")), step
+    )["low"]
+    owner = F.get(owners, found - 1)
+    return F.when((found > 0) & (owner != ""), owner)
+
+
 def child_directories(catalog: DataFrame, path: str, limit: int | None = None) -> DataFrame:
     """Names of the immediate child directories, in name order if a limit is set."""
     names = directory_rows(catalog, path, "dir", columns=["name"])

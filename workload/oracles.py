@@ -6,7 +6,7 @@ a recursive walk, pages and caps from row numbers.
 
 from __future__ import annotations
 
-from workload.queries import EVENTS_CAP, INCREMENTAL_ROLLUPS, MANY_ROLLUPS, MANY_ROOTS, NEWER, OLDER
+from workload.queries import EVENTS_CAP, INCREMENTAL_ROLLUPS, MANY_ROLLUPS, MANY_ROOTS, NEWER, OLDER, RANGE_ROOTS
 
 _CATALOG = """
 files AS (
@@ -532,6 +532,7 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 <> 0 THEN
         _CRUMBS,
     ),
     "frontier": _with("SELECT * FROM walk", _DIRS, _walk(_ROOTS, 2), recursive=True),
+    "frontier_ranges": _with("SELECT * FROM walk", _DIRS, _walk(RANGE_ROOTS, 2), recursive=True),
     "frontier_many_roots": _with(
         "SELECT * FROM walk", _DIRS, _walk(MANY_ROOTS, 1), recursive=True
     ),

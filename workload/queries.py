@@ -29,6 +29,14 @@ OLDER = "files_2031-02-03_04_05_06_UTC"
 NEWER = "files_2031-02-04_10_20_30_UTC"
 EVENTS_CAP = 1000
 MANY_ROLLUPS = [("/", 2), ("/documents/", 1), ("/orders/", 2), ("/lineitem/A/", 2), ("/home/", 1)]
+#: A thousand roots in two branches, some inside others, some missing from the catalog.
+RANGE_ROOTS = (
+    [f"/documents/src{i}/" for i in range(700)]
+    + [f"/documents/src{i}/x/" for i in range(24)]
+    + [f"/lineitem/{flag}/" for flag in "ANR"]
+    + [f"/lineitem/{flag}/{year}/" for flag in "ANR" for year in range(1992, 1999)]
+    + [f"/lineitem/{flag}/{year}/{month:02d}/" for flag in "ANR" for year in range(1992, 1999) for month in range(1, 13)]
+)
 MANY_ROOTS = [f"/documents/src{i}/" for i in range(40)] + ["/lineitem/", "/lineitem/A/"]
 
 
@@ -487,6 +495,10 @@ def frontier_many_roots(spark, tables):
     return hierarchy.frontier(derived_catalog(spark, tables), MANY_ROOTS, 1)
 
 
+def frontier_ranges(spark, tables):
+    return hierarchy.frontier_ranges(derived_catalog(spark, tables), RANGE_ROOTS, 2)
+
+
 def frontier_capped(spark, tables):
     return hierarchy.capped_frontier(frontier(spark, tables), 50)
 
@@ -624,6 +636,7 @@ QUERIES: dict[str, Query] = {
     "frontier": frontier,
     "frontier_many_roots": frontier_many_roots,
     "frontier_capped": frontier_capped,
+    "frontier_ranges": frontier_ranges,
     "frontier_missing": frontier_missing,
     "materialised_listing": materialised_listing,
     "listing_ready": listing_ready,
