@@ -585,3 +585,5 @@ FROM dirs d LEFT JOIN (SELECT * FROM roll ORDER BY total_bytes DESC, name LIMIT
         _rollup_ctes("/lineitem/", 1),
     ),
 }
+
+ORACLES["rollup_all_dirs_ranges"] = ORACLES["rollup_all_dirs"]
