@@ -55,9 +55,12 @@ def _cut(doc_id: Column, run: Column) -> Column:
 
 def words(documents: DataFrame, min_length: int = 6, min_count: int = 5) -> DataFrame:
     """word, n: every word of the texts after the cut rule, counted over all documents."""
+    # A run that long is found from its first letter, so the matches are exactly the maximal
+    # runs of at least min_length letters; shorter runs, most of a text, are never built.
+    long_runs = F.lit(f"{_RUN[:-1]}{{{min_length},}}")
     runs = documents.select(
-        F.col("doc_id"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_RUN), 0)).alias("run")
-    ).where(F.length("run") >= min_length)
+        F.col("doc_id"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), long_runs, 0)).alias("run")
+    )
     cut = runs.select(_cut(F.col("doc_id"), F.col("run")).alias("word")).where(F.length("word") >= min_length)
     return cut.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
