@@ -18,8 +18,9 @@ Candidates come from pivotal prefix filtering with bigrams and one edit:
   frequency are its pivots, chosen by dynamic programming over the prefix in position order;
 * one edit destroys at most one of two disjoint bigrams and moves the other by at most one
   place, and the word whose third prefix bigram ranks later holds the survivor in its extended
-  prefix. So every near pair meets in an equality join of one word's pivots (at their position
-  and length, give or take one) with the other's extended prefix;
+  prefix. So every near pair meets in an equality join of the pivots of the word whose third
+  bigram ranks earlier (at their position and length, give or take one) with the other's
+  extended prefix, and only that direction is joined;
 * candidates are verified by Levenshtein distance exactly 1.
 
 No pair outside a shared pivot is formed, and a bigram's join key carries its position and the
@@ -106,26 +107,34 @@ def _near_pairs(counted: DataFrame, spark) -> DataFrame:
     )
     last = F.element_at(F.col("grams"), F.least(F.lit(PREFIX), F.size("grams")))
     profiled = ranked.select(
-        "word", "len",
+        "word", "len", last["freq"].alias("last_freq"), last["gram"].alias("last_gram"),
         F.filter("grams", lambda g: (g["freq"] < last["freq"]) | ((g["freq"] == last["freq"]) & (g["gram"] <= last["gram"])))
         .alias("extended"),
         _pivots(F.slice("grams", 1, PREFIX)).alias("pivots"),
     )
     profiled = materialised(profiled, spark)
     index = profiled.select(
-        F.col("word").alias("r"), F.col("len").alias("r_len"), F.explode("extended").alias("g")
-    ).select("r", "r_len", F.col("g.gram").alias("gram"), F.col("g.pos").alias("r_pos"))
+        F.col("word").alias("r"), F.col("len").alias("r_len"), F.col("last_freq").alias("r_freq"),
+        F.col("last_gram").alias("r_gram"), F.explode("extended").alias("g"),
+    ).select("r", "r_len", "r_freq", "r_gram", F.col("g.gram").alias("gram"), F.col("g.pos").alias("r_pos"))
     shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     probes = (
-        profiled.select("word", "len", F.explode("pivots").alias("g"))
+        profiled.select("word", "len", "last_freq", "last_gram", F.explode("pivots").alias("g"))
         .select(
             F.col("word").alias("s"), F.col("g.gram").alias("gram"),
             F.explode(F.transform(shifts, lambda d: F.col("g.pos") + d)).alias("r_pos"),
-            F.col("len"),
+            F.col("len"), F.col("last_freq").alias("s_freq"), F.col("last_gram").alias("s_gram"),
         )
-        .select("s", "gram", "r_pos", F.explode(F.transform(shifts, lambda d: F.col("len") + d)).alias("r_len"))
+        .select(
+            "s", "gram", "r_pos", "s_freq", "s_gram",
+            F.explode(F.transform(shifts, lambda d: F.col("len") + d)).alias("r_len"),
+        )
+    )
+    # The word whose third prefix bigram ranks no earlier holds the survivor: probe only that way.
+    later = (F.col("r_freq") > F.col("s_freq")) | (
+        (F.col("r_freq") == F.col("s_freq")) & (F.col("r_gram") >= F.col("s_gram"))
     )
-    met = probes.join(index, ["gram", "r_pos", "r_len"]).where(F.col("s") != F.col("r"))
+    met = probes.join(index, ["gram", "r_pos", "r_len"]).where((F.col("s") != F.col("r")) & later)
     pairs = met.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
     return pairs.where(F.levenshtein("a", "b", 1) == 1)
 
