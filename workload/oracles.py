@@ -414,6 +414,7 @@ FROM cat WHERE parent_path = '/documents/' AND contains(name, '1')"""
     "listing_page_last": _page("/events/", _by("size"), 10**6, 100),
     "listing_page_capped": _page("/events/", _by("size", "DESC"), 2, 100, EVENTS_CAP),
     "listing_page_meta": _meta("/events/", 10**6, 20),
+    "listing_page_indexed": _page("/events/", _by("name"), 7, 100),
     "listing_unknown": _meta("/no/such/dir/", 3, 20),
     "rollup_depth1": _rollup("/lineitem/", 1),
     "rollup_depth2": _rollup("/lineitem/", 2),

@@ -17,6 +17,7 @@ from fileglade.plans.browser import envelope
 from fileglade.schema import CATALOG_SCHEMA, ROLLUP_COLUMNS
 from fileglade.sinks import export
 from fileglade.sinks.listings import ListingStore
+from fileglade.sinks.rank_index import indexed_page, rank_index
 from fileglade.sources import catalog as cat
 from fileglade.sources import control
 from fileglade.sources.derived import derived_catalog
@@ -282,6 +283,16 @@ def _meta(path: str, source_path: str | None = None, name_filter: str = "", **re
     return query
 
 
+def listing_page_indexed(spark, tables):
+    """A deep page in name order from the rank index of the stored, path-sorted catalog."""
+    folder = shared_folder(spark)
+    cat.sorted_layout(derived_catalog(spark, tables)).write.parquet(f"{folder}/table")
+    rank_index(cat.read_catalog(spark, f"{folder}/table")).write.parquet(f"{folder}/rank")
+    index = spark.read.parquet(f"{folder}/rank")
+    rows, at = indexed_page(spark, index, CATALOG_SCHEMA, "/events/", page=7, page_size=100)
+    return _flag(listing.entries(rows), page=at.number, pages=at.pages)
+
+
 def listing_counts(spark, tables):
     source = derived_catalog(spark, tables, "/documents/")
     return listing.type_counts(cat.directory_rows(source, "/documents/", name_contains="1"))
@@ -612,6 +623,7 @@ QUERIES: dict[str, Query] = {
     "listing_page_capped": _page(
         "/events/", cap=EVENTS_CAP, page=2, page_size=100, sort="size", order="desc"
     ),
+    "listing_page_indexed": listing_page_indexed,
     "listing_page_meta": _meta("/events/", page=10**6, page_size=7),
     "listing_unknown": _meta("/no/such/dir", source_path="/", page=3),
     "rollup_depth1": _rollup("/lineitem/", 1),
