@@ -6,12 +6,12 @@ from fileglade.operators import hierarchy as H
 from fileglade.operators import rollup as R
 
 
-def project_tree():
-    rows = [("/", "projects", "DIR"), ("/", "home", "DIR")]
-    for i in range(12):
-        rows.append(("/projects/", f"proj-{i:02d}", "DIR"))
-        rows += [(f"/projects/proj-{i:02d}/", sub, "DIR") for sub in ("data", "docs", "src", "tmp")]
-        rows.append((f"/projects/proj-{i:02d}/src/", "main", "FILE", i, i))
+def farm_tree():
+    rows = [("/", "farm", "DIR"), ("/", "lodge", "DIR")]
+    for i in range(14):
+        rows.append(("/farm/", f"field-{i:02d}", "DIR"))
+        rows += [(f"/farm/field-{i:02d}/", sub, "DIR") for sub in ("barn", "crop", "soil")]
+        rows.append((f"/farm/field-{i:02d}/crop/", "yield", "FILE", i, i))
     return rows
 
 
@@ -37,58 +37,58 @@ def levels(frame):
 
 @pytest.mark.parametrize("depth", [0, 1, 2, 3])
 @pytest.mark.parametrize(
-    "roots", [["/projects/"], ["/"], ["/projects/proj-01/", "/projects/", "/projects/"], ["/nix/", "/home/"]]
+    "roots", [["/farm/"], ["/"], ["/farm/field-01/", "/farm/", "/farm/"], ["/nix/", "/lodge/"]]
 )
 @pytest.mark.parametrize("few", [32, 0])
 def test_frontier_equals_a_walk(make, roots, depth, few):
-    rows = project_tree()
+    rows = farm_tree()
     assert levels(H.frontier(make(rows), roots, depth, few)) == walk(rows, roots, depth)
 
 
 def test_frontier_of_many_roots(make):
-    rows = project_tree()
-    roots = [f"/projects/proj-{i:02d}/" for i in range(12)] + [f"/nix/{i}/" for i in range(40)]
-    roots += ["/projects/", "/projects/proj-03/src/"]
+    rows = farm_tree()
+    roots = [f"/farm/field-{i:02d}/" for i in range(14)] + [f"/nix/{i}/" for i in range(40)]
+    roots += ["/farm/", "/farm/field-03/crop/"]
     for depth in (0, 1, 2):
         assert levels(H.frontier(make(rows), roots, depth)) == walk(rows, roots, depth)
 
 
 def test_frontier_sizes(make):
-    tree = make(project_tree())
-    assert H.frontier(tree, ["/projects"], 1).count() == 13
-    assert H.frontier(tree, ["/projects", "/home"], 0).count() == 2
-    capped = H.capped_frontier(H.frontier(tree, ["/projects"], 3), 5)
-    assert [tuple(r) for r in capped.collect()][0] == ("/projects/", 0) and capped.count() == 5
+    tree = make(farm_tree())
+    assert H.frontier(tree, ["/farm"], 1).count() == 15
+    assert H.frontier(tree, ["/farm", "/lodge"], 0).count() == 2
+    capped = H.capped_frontier(H.frontier(tree, ["/farm"], 3), 4)
+    assert [tuple(r) for r in capped.collect()][0] == ("/farm/", 0) and capped.count() == 4
 
 
 def test_frontier_stops_at_a_missing_directory(make):
-    rows = project_tree() + [
-        ("/projects/lost/", "deep", "DIR"),
-        ("/projects/lost/deep/", "deeper", "DIR"),
-        ("/projects/proj-03/src/", "kept", "DIR"),
+    rows = farm_tree() + [
+        ("/farm/lost/", "deep", "DIR"),
+        ("/farm/lost/deep/", "deeper", "DIR"),
+        ("/farm/field-03/crop/", "kept", "DIR"),
     ]
-    for roots in (["/projects/"], ["/projects/", "/projects/lost/"], ["/projects/", "/projects/lost/deep/"]):
+    for roots in (["/farm/"], ["/farm/", "/farm/lost/"], ["/farm/", "/farm/lost/deep/"]):
         for depth, few in ((1, 32), (2, 32), (3, 32), (3, 0)):
             got = levels(H.frontier(make(rows), roots, depth, few))
             assert got == walk(rows, roots, depth)
 
 
 def test_missing_directories(spark, make):
-    tree = make(project_tree())
+    tree = make(farm_tree())
     snapshot = F.lit("s1").alias("snapshot")
-    wanted = H.frontier(tree, ["/projects/"], 1).select(snapshot, "path")
-    ready = H.frontier(tree, ["/projects/"], 0).select(snapshot, "path")
-    assert H.not_yet_materialised(wanted, ready).count() == 12
+    wanted = H.frontier(tree, ["/farm/"], 1).select(snapshot, "path")
+    ready = H.frontier(tree, ["/farm/"], 0).select(snapshot, "path")
+    assert H.not_yet_materialised(wanted, ready).count() == 14
     other = ready.withColumn("snapshot", F.lit("s0"))
-    assert H.not_yet_materialised(wanted, other).count() == 13
+    assert H.not_yet_materialised(wanted, other).count() == 15
 
 
 def test_first_children_and_tree_level(make):
-    tree = make(project_tree())
-    firsts = H.first_children(tree, 8).where("parent_path = '/projects/'").orderBy("position")
-    assert [r["name"] for r in firsts.collect()] == [f"proj-{i:02d}" for i in range(8)]
-    level = H.tree_level(tree, "/projects", 10).collect()
-    assert len(level) == 10 and {(r["total_dirs"], r["more_dirs"]) for r in level} == {(12, 2)}
+    tree = make(farm_tree())
+    firsts = H.first_children(tree, 8).where("parent_path = '/farm/'").orderBy("position")
+    assert [r["name"] for r in firsts.collect()] == [f"field-{i:02d}" for i in range(8)]
+    level = H.tree_level(tree, "/farm", 10).collect()
+    assert len(level) == 10 and {(r["total_dirs"], r["more_dirs"]) for r in level} == {(14, 4)}
     assert {r["more_dirs"] for r in H.tree_level(tree, "/", 10).collect()} == {0}
 
 

@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 
 from fileglade.operators import rollup as R
 
-ADMIN = [
-    ("/admin/a/", "f1", "FILE", 100, 96, 1_000, 2_000),
-    ("/admin/a/deep/nested/", "f2", "FILE", 50, 48, 9_000, 1_000),
-    ("/admin/b/", "f3", "FILE", 10, 8, 500, 600),
-    ("/admin/a/", "f4", "FILE", 200, 100, 3_000, 8_000),
-    ("/admin/", "f5", "FILE", 7, 4, 100, 200),
-    ("/administrator/x/", "f6", "FILE", 999, 999, 99_999, 99_999),
-    ("/admin/", "a", "DIR", 4096, 4096, 10**6, 10**6),
-    ("/admin/", "b", "DIR", 4096, 4096, 10**6, 10**6),
-    ("/admin/", "void", "DIR", 4096, 4096, 10**6, 10**6),
-    ("/admin/a/", "deep", "DIR", 4096, 4096, 10**6, 10**6),
-    ("/admin/a/deep/", "nested", "DIR", 4096, 4096, 10**6, 10**6),
-    ("/admin/a/", "link", "SYMLINK", 5, 5, 10**6, 10**6),
+STUDIO = [
+    ("/studio/reels/", "r1.mov", "FILE", 120, 128, 2_500, 4_000),
+    ("/studio/reels/raw/takes/", "t1.mov", "FILE", 40, 64, 7_700, 1_500),
+    ("/studio/stills/", "s1.jpg", "FILE", 15, 16, 800, 900),
+    ("/studio/reels/", "r2.mov", "FILE", 310, 320, 4_200, 6_600),
+    ("/studio/", "notes.txt", "FILE", 9, 12, 300, 350),
+    ("/studioline/q/", "other.bin", "FILE", 777, 784, 88_888, 88_888),
+    ("/studio/", "reels", "DIR", 4096, 4096, 10**6, 10**6),
+    ("/studio/", "stills", "DIR", 4096, 4096, 10**6, 10**6),
+    ("/studio/", "empty", "DIR", 4096, 4096, 10**6, 10**6),
+    ("/studio/reels/", "raw", "DIR", 4096, 4096, 10**6, 10**6),
+    ("/studio/reels/raw/", "takes", "DIR", 4096, 4096, 10**6, 10**6),
+    ("/studio/reels/", "shortcut", "SYMLINK", 3, 3, 10**6, 10**6),
 ]
 
 
@@ -29,22 +29,22 @@ def by_name(groups):
 
 
 def test_depth_one(make):
-    assert by_name(R.rollup_groups(make(ADMIN), "/admin/", 1)) == {
-        "a": (3, 350, 244, 9_000, 8_000),
-        "b": (1, 10, 8, 500, 600),
-        ".": (1, 7, 4, 100, 200),
-        "void": (0, 0, 0, None, None),
+    assert by_name(R.rollup_groups(make(STUDIO), "/studio/", 1)) == {
+        "reels": (3, 470, 512, 7_700, 6_600),
+        "stills": (1, 15, 16, 800, 900),
+        ".": (1, 9, 12, 300, 350),
+        "empty": (0, 0, 0, None, None),
     }
 
 
 def test_depth_two_keeps_depth_one_seeds(make):
-    groups = by_name(R.rollup_groups(make(ADMIN), "/admin/", 2))
+    groups = by_name(R.rollup_groups(make(STUDIO), "/studio/", 2))
     assert groups == {
-        "a": (2, 300, 196, 3_000, 8_000),
-        "a/deep": (1, 50, 48, 9_000, 1_000),
-        "b": (1, 10, 8, 500, 600),
-        ".": (1, 7, 4, 100, 200),
-        "void": (0, 0, 0, None, None),
+        "reels": (2, 430, 448, 4_200, 6_600),
+        "reels/raw": (1, 40, 64, 7_700, 1_500),
+        "stills": (1, 15, 16, 800, 900),
+        ".": (1, 9, 12, 300, 350),
+        "empty": (0, 0, 0, None, None),
     }
     only_deep = make([("/x/A/1/", "f", "FILE", 1, 1, 1, 1), ("/x/", "A", "DIR", 0, 0, 0, 0)])
     assert {n: g[0] for n, g in by_name(R.rollup_groups(only_deep, "/x/", 2)).items()} == {
@@ -55,13 +55,13 @@ def test_depth_two_keeps_depth_one_seeds(make):
 
 def test_null_sizes_count_and_null_times_pass(make):
     rows = make(
-        [("/x/a/", "1", "FILE", 100, 96, None, 2), ("/x/a/", "2", "FILE", None, None, 3_000, None)]
+        [("/w/k/", "p", "FILE", 64, 60, None, 5), ("/w/k/", "q", "FILE", None, None, 4_100, None)]
     )
-    assert by_name(R.rollup_groups(rows, "/x/", 1)) == {"a": (2, 100, 96, 3_000, 2)}
-    blank = make([("/x/a/", "1", "FILE"), ("/x/", "e", "DIR")])
-    shown = {r["name"]: r for r in R.children(R.rollup_groups(blank, "/x/", 1)).collect()}
-    assert (shown["a"]["file_count"], shown["a"]["total_bytes"]) == (1, 0)
-    assert (shown["e"]["last_modified"], shown["e"]["last_accessed"]) == ("", "")
+    assert by_name(R.rollup_groups(rows, "/w/", 1)) == {"k": (2, 64, 60, 4_100, 5)}
+    blank = make([("/w/k/", "p", "FILE"), ("/w/", "z", "DIR")])
+    shown = {r["name"]: r for r in R.children(R.rollup_groups(blank, "/w/", 1)).collect()}
+    assert (shown["k"]["file_count"], shown["k"]["total_bytes"]) == (1, 0)
+    assert (shown["z"]["last_modified"], shown["z"]["last_accessed"]) == ("", "")
 
 
 def test_many_rollups_equal_single_ones(stored):
@@ -79,18 +79,18 @@ def test_many_rollups_equal_single_ones(stored):
 
 
 def test_many_rollups_of_one_long_request_list(make):
-    requests = [(f"/admin/{i}/", 1) for i in range(50)] + [("/admin/", 1)]
-    many = R.rollup_many(make(ADMIN), requests)
-    kept = many.where(F.col("prefix") == "/admin/").drop("prefix", "depth")
-    assert by_name(kept) == by_name(R.rollup_groups(make(ADMIN), "/admin/", 1))
+    requests = [(f"/studio/{i}/", 1) for i in range(50)] + [("/studio/", 1)]
+    many = R.rollup_many(make(STUDIO), requests)
+    kept = many.where(F.col("prefix") == "/studio/").drop("prefix", "depth")
+    assert by_name(kept) == by_name(R.rollup_groups(make(STUDIO), "/studio/", 1))
     assert many.count() == kept.count()
 
 
 def test_merging_group_states(make):
-    one = R.rollup_groups(make(ADMIN[:3]), "/admin/", 1)
-    two = R.rollup_groups(make(ADMIN[3:]), "/admin/", 1)
+    one = R.rollup_groups(make(STUDIO[:3]), "/studio/", 1)
+    two = R.rollup_groups(make(STUDIO[3:]), "/studio/", 1)
     merged = R.merge_groups(one.unionByName(two), ["name"])
-    assert by_name(merged) == by_name(R.rollup_groups(make(ADMIN), "/admin/", 1))
+    assert by_name(merged) == by_name(R.rollup_groups(make(STUDIO), "/studio/", 1))
 
 
 def test_all_directories_equal_single_totals(stored):
@@ -143,7 +143,7 @@ def test_top_children_and_ties(make):
 
 def test_rows_scanned_without_a_second_scan(make):
     seen = Observation()
-    R.rollup_groups(make(ADMIN), "/admin/", 1, seen).collect()
+    R.rollup_groups(make(STUDIO), "/studio/", 1, seen).collect()
     assert seen.get["rows_scanned"] == 5
 
 
