@@ -16,7 +16,7 @@ common AS (
     SELECT c.source, c.line
     FROM (SELECT source, line, count(*) AS n FROM page_lines GROUP BY source, line) c
     JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-    WHERE t.pages >= 20 AND c.n >= 5 AND c.n / t.pages >= 0.1
+    WHERE c.n >= 5 AND c.n / t.pages >= 0.1
 ),
 marks AS (
     SELECT p.doc_id, list(p.line) AS gone
@@ -68,11 +68,11 @@ based AS (
 ),
 ratios AS (
     SELECT doc_id, lang, source, base_failed, unnest([
-        {'rule': 'symbol', 'least': 0.08::DOUBLE,
+        {'rule': 'symbol', 'least': 0.08::DOUBLE, 'high': 0.16::DOUBLE,
          'value': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END},
-        {'rule': 'line', 'least': 0.3::DOUBLE,
+        {'rule': 'line', 'least': 0.3::DOUBLE, 'high': 0.6::DOUBLE,
          'value': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END},
-        {'rule': 'length', 'least': 18::DOUBLE,
+        {'rule': 'length', 'least': 18::DOUBLE, 'high': 1e308::DOUBLE,
          'value': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END}
     ]) AS r
     FROM based
@@ -92,8 +92,8 @@ edges AS (
 ),
 verdicts AS (
     SELECT r.doc_id, bool_and(coalesce(
-        r.r.value <= greatest(r.r.least, 4 * pow(2, CASE WHEN own_n >= 50 THEN own_edge
-            WHEN lang_n >= 50 THEN lang_edge ELSE all_edge END / 8)), false)) AS inside
+        r.r.value <= greatest(r.r.least, least(r.r.high, 4 * pow(2, CASE WHEN own_n >= 50 THEN own_edge
+            WHEN lang_n >= 50 THEN lang_edge ELSE all_edge END / 8))), false)) AS inside
     FROM ratios r LEFT JOIN edges e ON r.lang IS NOT DISTINCT FROM e.lang
          AND r.source IS NOT DISTINCT FROM e.source AND r.r.rule = e.rule
     GROUP BY r.doc_id
