@@ -588,3 +588,14 @@ FROM dirs d LEFT JOIN (SELECT * FROM roll ORDER BY total_bytes DESC, name LIMIT
 }
 
 ORACLES["rollup_all_dirs_ranges"] = ORACLES["rollup_all_dirs"]
+ORACLES["ready_bucketed"] = _with(
+    """SELECT c.parent_path, c.name, c.element_type, c.size, n.total_rows, n.total_dirs, n.total_files
+FROM cat c JOIN counts n ON c.parent_path = n.parent_path""",
+    _DIRS,
+    _walk(["/documents/", "/lineitem/"], 1),
+    """counts AS (
+  SELECT parent_path, count(*) AS total_rows, count(*) FILTER (WHERE element_type = 'DIR') AS total_dirs,
+         count(*) FILTER (WHERE element_type = 'FILE') AS total_files
+  FROM cat WHERE parent_path IN (SELECT path FROM walk) GROUP BY parent_path)""",
+    recursive=True,
+)

@@ -16,6 +16,7 @@ from fileglade.operators.intervals import subtree_totals
 from fileglade.plans.browser import envelope
 from fileglade.schema import CATALOG_SCHEMA, ROLLUP_COLUMNS
 from fileglade.sinks import export
+from fileglade.sinks.bucketed import BucketedListings
 from fileglade.sinks.listings import ListingStore
 from fileglade.sinks.rank_index import indexed_page, rank_index
 from fileglade.sources import catalog as cat
@@ -550,6 +551,15 @@ def listing_ready(spark, tables):
     return _flag(listing.entries(rows), page=at.number, pages=at.pages)
 
 
+def ready_bucketed(spark, tables):
+    source = _written(spark, tables)
+    store = BucketedListings(spark, buckets=8)
+    store.add(source, hierarchy.frontier(source, ["/documents/", "/lineitem/"], 1), NEWER)
+    return store.with_counts(NEWER).select(
+        "parent_path", "name", "element_type", "size", "total_rows", "total_dirs", "total_files"
+    )
+
+
 def first_children(spark, tables):
     return hierarchy.first_children(derived_catalog(spark, tables), 8)
 
@@ -659,6 +669,7 @@ QUERIES: dict[str, Query] = {
     "frontier_missing": frontier_missing,
     "materialised_listing": materialised_listing,
     "listing_ready": listing_ready,
+    "ready_bucketed": ready_bucketed,
     "first_children": first_children,
     "tree_level": tree_level,
     "listing_annotated": _annotated(12),
