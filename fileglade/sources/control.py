@@ -56,3 +56,37 @@ def capacity(records: DataFrame, path: str = "path", column: str = "record") ->
         F.lit(True).alias("estimate"),
         F.from_json(source, fields).alias("lifted"),
     ).select("path", "available", "estimate", "lifted.*")
+
+
+def _is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def capacity_variant(records: DataFrame, path: str = "path", column: str = "record") -> DataFrame:
+    """:func:`capacity` from records parsed once into VARIANT.
+
+    The record is parsed a single time (broken JSON gives nulls), ``details`` is looked up in the
+    parsed value, and each estimate is one path lookup, with no JSON text read again. Fields not
+    asked for are kept in the value and can be listed by :func:`record_fields`.
+    """
+    parsed = F.try_parse_json(F.col(column))
+    details = F.try_variant_get(parsed, "$.details", "variant")
+    source = F.when(details.isNull(), parsed).when(_is_object(details), details)
+    return records.select(
+        F.col(path).alias("path"),
+        F.lit(True).alias("available"),
+        F.lit(True).alias("estimate"),
+        *[F.try_variant_get(source, f"$.{f}", "string").alias(f) for f in CAPACITY_FIELDS],
+    )
+
+
+def record_fields(records: DataFrame, path: str = "path", column: str = "record") -> DataFrame:
+    """path, key, value (JSON text), is_object: one row for every top-level field of every record,
+    known or not; records that are no object, or no JSON, have none."""
+    spark = records.sparkSession
+    parsed = records.select(F.col(path).alias("path"), F.try_parse_json(F.col(column)).alias("v"))
+    parsed = parsed.where(_is_object(F.col("v")))
+    fields = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return fields.select(
+        "path", "key", F.to_json("value").alias("value"), _is_object(F.col("value")).alias("is_object")
+    )

@@ -45,3 +45,26 @@ def test_capacity(spark):
     assert rows["/part"] == (True, True, "3", None, None, None, None)
     for path in ("/empty", "/list", "/null", "/none", "/array"):
         assert rows[path] == nothing, path
+
+
+def test_variant_reader_equals_text_reader(spark):
+    from fileglade.sources import control
+
+    records = spark.createDataFrame(
+        [
+            ("/a/", '{"details": {"logical": 9, "usable": null, "percent": 1.5}, "logical": -9}'),
+            ("/b/", '{"logical": 4, "average_atime": "1-URGENT", "extra": {"k": 1}}'),
+            ("/c/", '{"details": [2], "logical": 2}'),
+            ("/d/", '{"details": null, "logical": 3}'),
+            ("/e/", "[1, 2]"),
+            ("/f/", "not json"),
+            ("/g/", None),
+        ],
+        "path string, record string",
+    )
+    text = sorted(map(tuple, control.capacity(records).collect()), key=str)
+    variant = sorted(map(tuple, control.capacity_variant(records).collect()), key=str)
+    assert variant == text
+    fields = {(r.path, r.key, r.is_object) for r in control.record_fields(records).collect()}
+    assert ("/b/", "extra", True) in fields and ("/c/", "details", False) in fields
+    assert not {p for p, _, _ in fields} & {"/e/", "/f/", "/g/"}

@@ -599,3 +599,16 @@ FROM cat c JOIN counts n ON c.parent_path = n.parent_path""",
   FROM cat WHERE parent_path IN (SELECT path FROM walk) GROUP BY parent_path)""",
     recursive=True,
 )
+ORACLES["control_variant"] = ORACLES["capacity_extract"]
+ORACLES["control_fields"] = """
+WITH r AS (SELECT o_orderkey AS k, coalesce(o_orderstatus, '') AS s, o_orderpriority AS p FROM orders),
+fields AS (
+  SELECT 'details' AS key, s = 'F' AS is_object FROM r WHERE s <> 'O'
+  UNION ALL SELECT 'logical', FALSE FROM r
+  UNION ALL SELECT 'unique', FALSE FROM r WHERE s = 'O'
+  UNION ALL SELECT 'usable', FALSE FROM r WHERE s = 'O' AND k % 3 = 0
+  UNION ALL SELECT 'percent', FALSE FROM r WHERE s = 'O'
+  UNION ALL SELECT 'average_atime', FALSE FROM r WHERE s = 'O' AND p IS NOT NULL
+)
+SELECT key, count(*) AS records, count(*) FILTER (WHERE is_object) AS objects FROM fields GROUP BY key
+"""
