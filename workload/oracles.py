@@ -612,3 +612,6 @@ fields AS (
 )
 SELECT key, count(*) AS records, count(*) FILTER (WHERE is_object) AS objects FROM fields GROUP BY key
 """
+ORACLES["arrivals_deduplicated"] = (
+    "SELECT DISTINCT 'files_' || strftime(ts, '%Y-%m-%d_%H') AS snapshot FROM events"
+)

@@ -24,6 +24,7 @@ from fileglade.sources import control
 from fileglade.sources.derived import derived_catalog
 from fileglade.sources.snapshots import SnapshotStore, newest_snapshot
 from fileglade.sources.storage import materialised, shared_folder
+from fileglade.streaming.arrivals import ARRIVALS, follow_arrivals
 from fileglade.streaming.refresh import RefreshPlan, SnapshotRefresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +111,19 @@ def _by_type(rows: DataFrame) -> DataFrame:
     )
 
 
+def arrivals_deduplicated(spark, tables):
+    """Every event announces the snapshot of its hour, many times over; each is kept once."""
+    folder = shared_folder(spark)
+    announced = _table(spark, tables, "events").select(
+        F.concat(F.lit("files_"), F.date_format("ts", "yyyy-MM-dd_HH")).alias("snapshot"),
+        F.col("ts").cast("timestamp").alias("announced_at"),
+    )
+    announced.repartition(4).write.json(f"{folder}/announced")
+    query = follow_arrivals(spark, f"{folder}/announced", f"{folder}/kept", f"{folder}/progress")
+    query.awaitTermination()
+    return spark.read.schema(ARRIVALS).parquet(f"{folder}/kept").select("snapshot")
+
+
 def snapshot_pinned_read(spark, tables):
     rows, _ = _store(spark, tables, newer=True).read(OLDER)
     return _by_type(rows)
@@ -635,6 +649,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_pinned_read": snapshot_pinned_read,
     "snapshot_fallback": snapshot_fallback,
     "snapshot_refresh": snapshot_refresh,
+    "arrivals_deduplicated": arrivals_deduplicated,
     "refresh_incremental": refresh_incremental,
     "views_normalised": views_normalised,
     "capacity_extract": capacity_extract,
