@@ -34,13 +34,15 @@ class ByteBpe:
     """Encodes a text to little-endian unsigned 32-bit ids, without special tokens.
 
     A single space between two visible characters always starts a pretoken, so such pieces are
-    encoded once and remembered. Texts with other arrangements of blanks, and pieces outside the
-    Latin blocks, go to the library whole.
+    encoded once and remembered. Texts with other arrangements of blanks, pieces outside the
+    Latin blocks, and texts holding the content of an added token (``<|endoftext|>`` and the
+    like, which the library matches before any pretoken) go to the library whole, as it is.
     """
 
     def __init__(self, path: str) -> None:
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        added = sorted({t.content for t in self._library.get_added_tokens_decoder().values() if t.content})
+        self._added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self._model = self._library.model
         self._letters = _byte_letters()
         self._pattern = regex.compile(public_tokenizers.PATTERN)
@@ -72,6 +74,8 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self._added is not None and self._added.search(text):
+            return self._whole(text)
         pieces = text.split(" ")
         try:
             first = self._piece(pieces[0], "")

@@ -40,9 +40,12 @@ def test_decoding_any_ids():
 
 def test_byte_ids_equal_the_library():
     library = Tokenizer.from_file(bytebpe.default_path())
-    library.encode_special_tokens = True
     own = bytebpe.byte_bpe(bytebpe.default_path())
-    for text in hard_texts():
+    special = [
+        "<|endoftext|>", "<|endoftext|>a b <|endoftext|>", "a <|endoftext|> b", "word<|endoftext|>word",
+        " <|endoftext|>  x\n<|endoftext|>\n", "<|endoftext|><|endoftext|>", "<|endoftext", "é <|endoftext|>é",
+    ]
+    for text in [*hard_texts(), *special]:
         assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
 
 
