@@ -390,6 +390,7 @@ SELECT {_safe('name')}, {_safe('name')}, size FROM files WHERE parent_path = '/p
         "/documents/", "element_type IS NULL OR element_type NOT IN ('FILE', 'DIR')"
     ),
     "listing_name_filter": _whole("/events/", "contains(name, '99')"),
+    "name_search_indexed": _whole("/events/", "contains(name, '99')"),
     "listing_cap": _whole("/events/", cap=EVENTS_CAP),
     "listing_filter_escapes_cap": _whole("/events/", "contains(name, '777')", EVENTS_CAP),
     "listing_counts": _with(

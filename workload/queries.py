@@ -18,6 +18,7 @@ from fileglade.schema import CATALOG_SCHEMA, ROLLUP_COLUMNS
 from fileglade.sinks import export
 from fileglade.sinks.bucketed import BucketedListings
 from fileglade.sinks.listings import ListingStore
+from fileglade.sinks.name_index import directory_files, name_postings, search
 from fileglade.sinks.rank_index import indexed_page, rank_index
 from fileglade.sources import catalog as cat
 from fileglade.sources import control
@@ -338,6 +339,18 @@ def listing_page_indexed(spark, tables):
     return _flag(listing.entries(rows), page=at.number, pages=at.pages)
 
 
+def name_search_indexed(spark, tables):
+    """A name filter answered from the files whose three-character postings hold the needle."""
+    folder = shared_folder(spark)
+    cat.sorted_layout(derived_catalog(spark, tables)).write.parquet(f"{folder}/table")
+    stored = cat.read_catalog(spark, f"{folder}/table")
+    name_postings(stored).write.parquet(f"{folder}/postings")
+    directory_files(stored).write.parquet(f"{folder}/files")
+    postings, files = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/files")
+    rows = search(spark, postings, files, CATALOG_SCHEMA, "/events/", " 99 ")
+    return _flag(listing.entries(rows), truncated=False)
+
+
 def listing_counts(spark, tables):
     source = derived_catalog(spark, tables, "/documents/")
     return listing.type_counts(cat.directory_rows(source, "/documents/", name_contains="1"))
@@ -663,6 +676,7 @@ QUERIES: dict[str, Query] = {
     "listing_type_dir": _whole(DOCS, "dir"),
     "listing_type_other": _whole(DOCS, "other"),
     "listing_name_filter": _whole("/events/", name_filter=" 99 "),
+    "name_search_indexed": name_search_indexed,
     "listing_cap": _whole("/events/", cap=EVENTS_CAP),
     "listing_filter_escapes_cap": _whole("/events/", name_filter="777", cap=EVENTS_CAP),
     "listing_counts": listing_counts,
