@@ -1,7 +1,8 @@
 """Hard-negative mining by a secondary-sort shuffle.
 
-Rows take part when their ``vec_id``, label and vector are set and every component is finite;
-exact copies of a row count once. A row whose ``vec_id`` is divisible by 7 first has its label
+Rows take part when their ``vec_id``, label and vector are set and every component is finite.
+With ``copies`` every row counts, so a copy of an anchor is one of its other rows and an anchor
+itself; without, exact copies of a row count once. A row whose ``vec_id`` is divisible by 7 first has its label
 moved on by one (``(label + 1) % 10``). Components become ``floor(256 * x)`` and a row's score
 for an anchor is the integer inner product (over the common length, should lengths differ).
 Rows are ordered for an anchor by score, higher first, ties by smaller ``vec_id`` (then by a hash
@@ -25,9 +26,11 @@ How it runs:
    window at each positive and emits negatives, holding only open windows and the first rows of
    the current score, never an anchor's rows.
 
+Copies travel as one row with their number; only the stream counts them out.
+
 Edge cases: an empty table, or one without anchors, gives no rows; an anchor with fewer
 positives or negatives gives what there is; extra input columns are not carried. Scores must fit
-in 55 bits; larger components raise an error instead of a wrong answer.
+in 63 bits; larger components raise an error instead of a wrong answer.
 """
 
 from __future__ import annotations
@@ -50,8 +53,9 @@ ANCHOR_BLOCK = 1024
 CHUNK_ROWS = 8192
 
 _PAIRS = (
-    "anchor_id long, anchor_dup long, vec_id long, dup long, score long, same boolean"
+    "anchor_id long, anchor_dup long, anchor_copies long, vec_id long, dup long, copies long, score long, same boolean"
 )
+_NO_PAIRS = ["anchor_id", "anchor_dup", "anchor_copies", "vec_id", "dup", "copies", "score", "same"]
 _RESULT = (
     "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, "
     "negative_score long"
@@ -59,21 +63,23 @@ _RESULT = (
 
 
 def cleaned(embeddings: DataFrame) -> DataFrame:
-    """vec_id, dup, label and vector of the rows that take part, exact copies once."""
+    """vec_id, label, vector, copies and dup of the rows that take part, exact copies as one."""
     finite = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     )
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return (
         embeddings.where(
             F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite
         )
         .select(
             F.col("vec_id").cast("long").alias("vec_id"),
-            label.cast("long").alias("label"),
+            label.alias("label"),
             F.col("embedding").cast("array<double>").alias("vector"),
         )
-        .dropDuplicates(["vec_id", "label", "vector"])
+        .groupBy("vec_id", "label", "vector")
+        .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("dup", F.xxhash64("label", "vector"))
     )
 
@@ -90,8 +96,7 @@ def _scores(anchors: pd.Series, rows: pd.Series) -> np.ndarray:
     """Exact integer inner products, anchors by rows."""
     width = max([len(v) for v in anchors] + [len(v) for v in rows] + [0])
     a, r = _matrix(anchors, width), _matrix(rows, width)
-    top = max(np.abs(a).max(initial=0), np.abs(r).max(initial=0))
-    if top * top * max(width, 1) >= 2.0**55:
+    if np.abs(a).max(initial=0) * np.abs(r).max(initial=0) * max(width, 1) >= 2.0**62:
         raise ValueError("components too large for exact 64-bit scores")
     return a.astype(np.int64) @ r.astype(np.int64).T
 
@@ -111,8 +116,8 @@ def _first(order_key: tuple[np.ndarray, ...], mask: np.ndarray, k: int) -> np.nd
 def _pass(positives: int, negatives: int, low: int, second: bool):
     def run(key, rows: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or anchors.empty:
-            return pd.DataFrame(columns=["anchor_id", "anchor_dup", "vec_id", "dup", "score", "same"])
-        vec_id, dup, label = (rows[c].to_numpy(np.int64) for c in ("vec_id", "dup", "label"))
+            return pd.DataFrame(columns=_NO_PAIRS)
+        vec_id, dup, label, copies = (rows[c].to_numpy(np.int64) for c in ("vec_id", "dup", "label", "copies"))
         outs = []
         for start in range(0, len(anchors), ANCHOR_BLOCK):
             block = anchors.iloc[start : start + ANCHOR_BLOCK]
@@ -121,22 +126,24 @@ def _pass(positives: int, negatives: int, low: int, second: bool):
                 s = scores[i]
                 key3 = (s, vec_id, dup)
                 own = (vec_id == anchor.anchor_id) & (dup == anchor.anchor_dup)
-                same = (label == anchor.anchor_label) & ~own
+                others = copies - own
+                same = (label == anchor.anchor_label) & (others > 0)
                 picked = [_first(key3, same, positives)]
                 if second:
                     other = label != anchor.anchor_label
                     tops = anchor.positive_scores
                     for ps in sorted(set(() if tops is None else np.asarray(tops).tolist())):
-                        window = other & (100 * s <= 100 * ps) & (100 * s >= low * ps)
+                        window = other & (s <= ps) & (s >= -(-low * ps // 100))
                         picked.append(_first(key3, window, negatives))
                 at = np.unique(np.concatenate(picked))
                 if len(at):
                     outs.append(pd.DataFrame({
-                        "anchor_id": anchor.anchor_id, "anchor_dup": anchor.anchor_dup, "vec_id": vec_id[at],
-                        "dup": dup[at], "score": s[at], "same": same[at],
+                        "anchor_id": anchor.anchor_id, "anchor_dup": anchor.anchor_dup,
+                        "anchor_copies": anchor.anchor_copies, "vec_id": vec_id[at], "dup": dup[at],
+                        "copies": others[at], "score": s[at], "same": same[at],
                     }))
         if not outs:
-            return pd.DataFrame(columns=["anchor_id", "anchor_dup", "vec_id", "dup", "score", "same"])
+            return pd.DataFrame(columns=_NO_PAIRS)
         return pd.concat(outs, ignore_index=True)
 
     return run
@@ -148,22 +155,22 @@ def _stream(positives: int, negatives: int, low: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, found, windows, tie_score, ties, out = None, 0, [], None, [], []
         for batch in batches:
-            for anchor, anchor_dup, vec_id, score, same in zip(
-                batch["anchor_id"].tolist(), batch["anchor_dup"].tolist(), batch["vec_id"].tolist(),
-                batch["score"].tolist(), batch["same"].tolist(),
+            for anchor, anchor_dup, times, vec_id, copies, score, same in zip(
+                batch["anchor_id"].tolist(), batch["anchor_dup"].tolist(), batch["anchor_copies"].tolist(),
+                batch["vec_id"].tolist(), batch["copies"].tolist(), batch["score"].tolist(), batch["same"].tolist(),
             ):
                 if (anchor, anchor_dup) != current:
                     current, found, windows, tie_score, ties = (anchor, anchor_dup), 0, [], None, []
                 if score != tie_score:
                     tie_score, ties = score, []
                 if same:
-                    if found < positives:
+                    for _ in range(min(copies, positives - found)):
                         found += 1
                         window = [score, vec_id, 0]
                         if score >= 0:
                             for negative in ties:
                                 window[2] += 1
-                                out.append((anchor, vec_id, window[2], negative, score, score))
+                                out.append((anchor, vec_id, window[2], negative, score, score, times))
                             if window[2] < negatives:
                                 windows.append(window)
                     continue
@@ -173,43 +180,51 @@ def _stream(positives: int, negatives: int, low: int):
                     if 100 * score < low * ps:
                         continue
                     if score <= ps:
-                        n += 1
-                        out.append((anchor, pid, n, vec_id, ps, score))
+                        for _ in range(min(copies, negatives - n)):
+                            n += 1
+                            out.append((anchor, pid, n, vec_id, ps, score, times))
                     if n < negatives:
                         window[2] = n
                         kept.append(window)
                 windows = kept
-                if len(ties) < negatives:
-                    ties.append(vec_id)
+                ties.extend([vec_id] * min(copies, negatives - len(ties)))
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=_COLUMNS)
+                yield pd.DataFrame(out, columns=_STREAMED)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield pd.DataFrame(out, columns=_STREAMED)
 
     return run
 
 
 _COLUMNS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+_STREAMED = [*_COLUMNS, "times"]
 
 
 def mined(
-    embeddings: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80
+    embeddings: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80,
+    copies: bool = False,
 ) -> DataFrame:
-    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
+
+    With ``copies`` exact copies of a row are rows of their own, else they count once.
+    """
     spark = embeddings.sparkSession
     worker_path(spark)
     rows = cleaned(embeddings)
+    if not copies:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     anchors = rows.where(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("anchor_id"), F.col("dup").alias("anchor_dup"),
+        F.col("vec_id").alias("anchor_id"), F.col("dup").alias("anchor_dup"), F.col("copies").alias("anchor_copies"),
         F.col("label").alias("anchor_label"), F.col("vector").alias("anchor_vector"),
     )
     n_anchors, n_rows = anchors.count(), rows.count()
     if n_anchors == 0:
         return spark.createDataFrame([], _RESULT)
     blocks, chunks = math.ceil(n_anchors / ANCHOR_BLOCK), math.ceil(n_rows / CHUNK_ROWS)
-    spread = F.pmod(F.xxhash64("anchor_id", "anchor_dup"), F.lit(blocks))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("dup", "vec_id"), F.lit(chunks)))
+    # Both sides need keys of one type: an int and a long of one value hash to different tasks.
+    spread = F.pmod(F.xxhash64("anchor_id", "anchor_dup"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("dup", "vec_id"), F.lit(chunks)).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     anchors = anchors.withColumn("block", spread).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
@@ -234,4 +249,7 @@ def mined(
     ordered = pairs.repartition("anchor_id", "anchor_dup").sortWithinPartitions(
         "anchor_id", "anchor_dup", F.desc("score"), "vec_id", "dup"
     )
-    return ordered.mapInPandas(_stream(positives, negatives, low), _RESULT)
+    found = ordered.mapInPandas(_stream(positives, negatives, low), f"{_RESULT}, times long")
+    if copies:  # each copy of an anchor is an anchor
+        found = found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return found.select(*_COLUMNS)
