@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileglade.llm.common import materialised, worker_path
-from fileglade.llm.memo import Memo
 from fileglade.llm.quality import BLANK_CLASS
 
 TOP, HASHED, WIDTH, SIDE = 159, 32, 16, 2
 #: Tokens of a gradient step, and the size that AdaGrad scales.
 STEP_TOKENS, RATE = 4096, 0.1
+#: Rows of a step whose probabilities are worked on together: they stay in a core's cache.
+ROWS = 512
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -41,30 +43,39 @@ class Tokens:
 
     def __init__(self, top: list[str], hashed: int = HASHED) -> None:
         self.size = 1 + len(top) + hashed
-        self.known = known = {w.encode(): i + 1 for i, w in enumerate(top)}
-
-        def number(word: bytes) -> int:
-            own = known.get(word)
-            if own is None:
-                value = 0
-                for b in word:
-                    value = (value * 257 + b + 1) & 0xFFFFFFFF
-                own = 1 + len(known) + (value * 2654435761 >> 16 & 0xFFFF) % hashed
-            return own
-
-        self._numbers = Memo(number, 200_000)
+        self.known = {w.encode(): i + 1 for i, w in enumerate(top)}
+        self._classes = hashed
+        self._powers = np.ones(1, np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
         return self.numbers(text.encode().split())
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words))
+        own = np.fromiter(map(self.known.get, words, repeat(0)), np.int32, len(words))
+        others = np.flatnonzero(own == 0)
+        if len(others):
+            own[others] = self._class_ids([words[i] for i in others.tolist()])
+        return own
+
+    def _class_ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of the words' classes: a polynomial of each word's bytes modulo 2 ** 32, all at once."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        longest = int(lengths.max())
+        if longest > len(self._powers):
+            powers = np.full(2 * longest, 257, np.uint32)
+            powers[0] = 1
+            self._powers = np.multiply.accumulate(powers, dtype=np.uint32)
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.uint32)
+        terms = (raw + np.uint32(1)) * self._powers[np.repeat(ends - 1, lengths) - np.arange(len(raw))]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        value = sums[ends] - sums[ends - lengths] & np.uint64(0xFFFFFFFF)
+        spread = value * np.uint64(2654435761) >> np.uint64(16) & np.uint64(0xFFFF)
+        return 1 + len(self.known) + (spread % np.uint64(self._classes)).astype(np.int32)
 
     def hashed(self, words: list[bytes]) -> tuple[list[bytes], list[int]]:
         """The different words that have no id of their own, and how often each occurs."""
-        found = Counter(words)
-        for word in self.known.keys() & found.keys():
-            del found[word]
+        found = Counter(filterfalse(self.known.__contains__, words))
         return list(found), list(found.values())
 
 
@@ -86,20 +97,23 @@ class Network:
         self.bias = flat[a + WIDTH * size :]
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embed[0][around[0]]
+        total = self.embed[0].take(around[0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += self.embed[k][around[k]]
+            total += self.embed[k].take(around[k], axis=0)
         return np.tanh(total, out=total)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        logits = h @ self.out
-        logits += self.bias
-        own = logits[np.arange(len(target)), target]
-        most = logits.max(axis=1)
-        logits -= most[:, None]
-        np.exp(logits, out=logits)
-        return own - most - np.log(logits.sum(axis=1))
+        found = np.empty(len(target), np.float32)
+        for a in range(0, len(target), ROWS):
+            logits = h[a : a + ROWS] @ self.out
+            logits += self.bias
+            own = logits[np.arange(len(logits)), target[a : a + ROWS]]
+            most = logits.max(axis=1)
+            logits -= most[:, None]
+            np.exp(logits, out=logits)
+            found[a : a + ROWS] = own - most - np.log(logits.sum(axis=1))
+        return found
 
     def step(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
         """One AdaGrad step; ``squares`` sums the squared gradients so far."""
@@ -107,20 +121,23 @@ class Network:
         own = Network(gradient, self.size)
         h = self.hidden(around)
         p = h @ self.out
-        p += self.bias
-        p -= p.max(axis=1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
+        for a in range(0, len(p), ROWS):
+            rows = p[a : a + ROWS]
+            rows += self.bias
+            rows -= rows.max(axis=1)[:, None]
+            np.exp(rows, out=rows)
+            rows /= rows.sum(axis=1)[:, None]
+            rows[np.arange(len(rows)), target[a : a + ROWS]] -= 1
+            rows /= len(target)
         inner = (p @ self.out.T) * (1 - h * h)
         own.out[:] = h.T @ p
         own.bias[:] = p.sum(axis=0)
         for k in range(2 * SIDE):
-            order = np.argsort(around[k], kind="stable")
-            sorted_ids = around[k][order]
+            ids = around[k].astype(np.min_scalar_type(self.size))  # short integers sort by radix
+            order = np.argsort(ids, kind="stable")
+            sorted_ids = ids[order]
             heads = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-            own.embed[k][sorted_ids[heads]] = np.add.reduceat(inner[order], heads, axis=0)
+            own.embed[k][sorted_ids[heads]] = np.add.reduceat(inner.take(order, axis=0), heads, axis=0)
         squares += gradient * gradient
         self.flat -= RATE * gradient / (np.sqrt(squares) + 1e-8)
 

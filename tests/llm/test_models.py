@@ -1,6 +1,7 @@
 """Toxicity by held-out accuracy, window network by its probabilities, and the pipeline."""
 
 import os
+import sys
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,41 @@ def test_every_word_has_its_own_probability(spark, documents):
     assert len(whole) == len(plain) == len(rows)
 
 
+def test_class_ids_are_one_polynomial_without_a_call_for_each_word():
+    tokens = lmscore.Tokens(["the", "né"])
+    words = [b"the", "né".encode(), b"", b"\xff\x00", b"x" * 5000] + [f"w{i}é{i * i}".encode() for i in range(3000)]
+
+    def plain(word):
+        value = 0
+        for b in word:
+            value = (value * 257 + b + 1) & 0xFFFFFFFF
+        return 3 + (value * 2654435761 >> 16 & 0xFFFF) % lmscore.HASHED
+
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        found = tokens.numbers(words).tolist()
+    finally:
+        sys.setprofile(None)
+    assert found == [1, 2] + [plain(w) for w in words[2:]]
+    assert len(calls) < 100
+    assert tokens.numbers([]).tolist() == [] and tokens.hashed([b"a", b"the", b"b", b"a"]) == ([b"a", b"b"], [2, 1])
+
+
+def test_blocks_of_rows_leave_training_and_scores_alone(monkeypatch):
+    found = []
+    for rows in (100, 10**6):
+        monkeypatch.setattr(lmscore, "ROWS", rows)
+        rng = np.random.default_rng(3)
+        net = lmscore.Network(lmscore.start(192), 192)
+        squares = np.zeros_like(net.flat)
+        for n in (lmscore.STEP_TOKENS, 777):
+            around, target = rng.integers(0, 192, (4, n)), rng.integers(1, 192, n)
+            net.step(around, target, squares)
+        found.append((net.flat.copy(), net.log_probabilities(around, target)))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-6) and np.allclose(found[0][1], found[1][1], atol=1e-5)
+
+
 def test_garbage_in_the_same_class_scores_lower(spark):
     tokens = lmscore.Tokens([])
     kind = tokens.ids("common")[0]
