@@ -130,6 +130,57 @@ def test_blocks_of_rows_leave_training_and_scores_alone(monkeypatch):
     assert np.allclose(found[0][0], found[1][0], atol=1e-6) and np.allclose(found[0][1], found[1][1], atol=1e-5)
 
 
+def test_common_words_need_no_join(spark, documents, monkeypatch):
+    """Texts' words are joined with their shares only if they are rare in the corpus."""
+    docs = documents.select("doc_id", "text")
+    odd = "doc_id long, text string"
+    docs = docs.unionByName(spark.createDataFrame([(None, "x y\u00a0z x"), (7, None), (7, "")], odd))
+    counts = materialised(lmscore.word_counts(docs), spark)
+    words = Counter(w for r in docs.collect() for w in (r.text or "").encode().split())
+    assert {r.word.encode(): r.n for r in counts.collect()} == words
+    top = lmscore.vocabulary(docs, 20)
+    shares = materialised(lmscore.word_shares(counts, top), spark)
+    flat = lmscore.train(docs, top)
+    total = sum(n for w, n in words.items() if w.decode() not in top)
+    kept, results = [], []
+    for most in (1, 300, lmscore.COMMON):
+        monkeypatch.setattr(lmscore, "COMMON", most)
+        common = lmscore.common_shares(shares)
+        assert set(common) == {w.decode() for w, n in words.items() if w.decode() not in top and n * most >= total}
+        kept.append(len(common))
+        encoded = lmscore._encoded(docs, top, common).collect()
+        assert not any(bytes(w).decode() in common for r in encoded for w in r.words)
+        found = lmscore.word_scores(docs, top, flat, shares).collect()
+        results.append(sorted((r.doc_id or -1, r.n_tokens, r.log_likelihood) for r in found))
+    assert kept[0] == 0 < kept[1] < kept[2]
+    for other in results[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in results[0]]
+        assert np.allclose([r[2] for r in other], [r[2] for r in results[0]], rtol=1e-9)
+
+
+def test_counting_tasks_hold_few_words(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "HELD", 3)
+    texts = [(" a b\tc\u00a0d  e",), ("a\x0bf a g\r\nh",), (None,), (" \n",), ("a",)]
+    found = lmscore.word_counts(spark.createDataFrame(texts, "text string").coalesce(1)).collect()
+    assert {r.word: r.n for r in found} == Counter("a b c\u00a0d e a f a g h a".split(" "))
+
+
+def test_large_logits_are_shifted():
+    rng = np.random.default_rng(5)
+    around, target = rng.integers(0, 192, (4, 500)), rng.integers(1, 192, 500)
+    found = []
+    for size in (0.1, 40.0):
+        net = lmscore.Network((lmscore.start(192) * size * 10), 192)
+        logits = (net.hidden(around) @ net.last).astype(float)
+        logits -= logits.max(axis=1)[:, None]
+        plain = logits[np.arange(500), target] - np.log(np.exp(logits).sum(axis=1))
+        assert np.allclose(net.log_probabilities(around, target), plain, rtol=1e-4, atol=1e-4)
+        net.step(around, target, np.zeros_like(net.flat))
+        assert np.isfinite(net.flat).all()
+        found.append(np.abs(net.last).sum(axis=0).max() < lmscore.SAFE)
+    assert found == [True, False]
+
+
 def test_garbage_in_the_same_class_scores_lower(spark):
     tokens = lmscore.Tokens([])
     kind = tokens.ids("common")[0]
