@@ -50,14 +50,15 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = byte_bpe(path).encode
+        encode_all = byte_bpe(path).encode_all
         part = TaskContext.get().partitionId()
         nth = dict.fromkeys((1 << b for b in range(limit.bit_length())), 0)
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py() or "") + end
+            found = encode_all(text.as_py() or "" for text in batch["text"])
+            for doc, own_ids in zip(batch["doc_id"].to_pylist(), found, strict=True):
+                ids = own_ids + end
                 start, tokens = 0, len(ids) // 4
                 for length in binary_lengths(tokens, limit):
                     own = ids[4 * start : 4 * (start + length)]

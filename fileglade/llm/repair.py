@@ -226,7 +226,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = byte_bpe(tokens).encode
+        encode_all = byte_bpe(tokens).encode_all
         part, seq = TaskContext.get().partitionId(), 0
         docs: list = []
         ids: list[bytes] = []
@@ -240,11 +240,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             docs, ids, held = [], [], 0
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                own = encode(text.as_py() or "") + end
+            found = encode_all(text.as_py() or "" for text in batch["text"])
+            for doc, own in zip(batch["doc_id"].to_pylist(), found, strict=True):
                 docs.append(doc)
-                ids.append(own)
-                held += len(own) // 4
+                ids.append(own + end)
+                held += len(ids[-1]) // 4
                 if held >= SHARD_IDS:
                     yield from rows()
         if docs:

@@ -49,6 +49,46 @@ def test_byte_ids_equal_the_library():
         assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_ids_of_many_texts(monkeypatch):
+    library = Tokenizer.from_file(bytebpe.default_path())
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeinrstéß", k=rng.randint(1, 9))) for _ in range(400)]
+    ends = ["", "", ",", ".", "!?", ".\nAb", "'s", "12", " ", "日", "\xa0", "<|endoftext|>", "\x00ÿ"]
+    made = [" ".join(rng.choice(words) + rng.choice(ends[: rng.choice((5, 8, 13))]) for _ in range(30)) for _ in range(300)]
+    texts = [*made, *hard_texts(300), *made[:50]]
+    monkeypatch.setattr(bytebpe, "GROUP", 3000)
+    monkeypatch.setattr(bytebpe, "BLOCK", 70)
+    monkeypatch.setattr(bytebpe, "CALL", 5)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for memo, ids, kept in ((600_000, 4_000_000, 200_000), (300, 4_000_000, 100), (10_000, 500, 100)):
+        monkeypatch.setattr(bytebpe, "MEMO", memo)
+        monkeypatch.setattr(bytebpe, "MEMO_IDS", ids)
+        monkeypatch.setattr(bytebpe, "KEPT", kept)
+        own = bytebpe.ByteBpe(bytebpe.default_path())
+        assert [list(memoryview(i).cast("I")) for i in own.encode_all(iter(texts))] == expected
+        assert list(own.encode_all([])) == []
+
+
+def test_new_words_reach_the_model_once_and_together():
+    own = bytebpe.ByteBpe(bytebpe.default_path())
+    calls = []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, letters):
+            calls.append(letters)
+            return self.model.tokenize(letters)
+
+    own._model = Counted(own._model)
+    numbers = ["".join("aeinrstkl"[int(d)] for d in np.base_repr(i, 9)) for i in range(1000, 2000)]
+    texts = [" ".join(["The", *(n + end for n in numbers[a : a + 20])]) for end in ("", ",", ".") for a in range(0, 1000, 20)]
+    assert len(list(own.encode_all(texts))) == 150
+    assert len(calls) <= 10
+    assert sum("".join(calls).count(f"Ġ{n}ÿ") for n in numbers) == len(numbers)
+
+
 def test_encoded_rows(edge, empty):
     rows = pieces.encoded(edge, digests=True).collect()
     assert len(rows) == edge.count()
