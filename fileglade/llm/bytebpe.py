@@ -14,11 +14,10 @@ from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
 #: Pieces (and ids of pieces) in the memo at most, and pieces kept when it is full: the most used.
-MEMO, MEMO_IDS, KEPT = 600_000, 4_000_000, 200_000
+MEMO, MEMO_IDS, KEPT = 800_000, 5_000_000, 300_000
 #: Characters of texts that are looked up at a time; pieces gathered at a time; pretokens in a call of the model.
 GROUP, BLOCK, CALL = 8_000_000, 1 << 17, 256
 _PUNCTUATION = ".,!?*#$%&;:"
-_ODD_BLANKS = regex.compile("[\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _LATIN = regex.compile("[\\x00-\\u024f]*")
 #: The length of pieces that can't be encoded on their own: a blank is beside another or a text's end.
 _UNSAFE = -1
@@ -92,14 +91,28 @@ class ByteBpe:
         ends = np.flatnonzero(found == self._mark) if ids else np.zeros(0, np.int64)
         return np.diff(ends, prepend=-1) - 1, np.delete(found, ends)
 
-    def _parts(self, piece: str, led: str) -> list[str] | None:
-        """The keys of the pretokens of a piece that is no word; None if it is unsafe."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        if _ODD_BLANKS.search(piece.replace("\n", "")) or "\n\n" in piece:
+    def _parts(self, piece: str, first: bool, latin: bool) -> list[str] | None:
+        """The keys of the pretokens of a piece that is no word; None if it is unsafe.
+
+        A line's end between two visible characters is a pretoken, and none goes on behind it.
+        """
+        lines = piece.split("\n")
+        if piece.split() != lines:
             return None
-        found = self._pattern.findall(led)
-        return [p[1:] if p[0] == " " and p[1:].isalpha() else "  " + p for p in found]
+        keys = []
+        for line in lines:
+            word = line.rstrip(_PUNCTUATION)
+            bare = first or bool(keys)
+            if keys:
+                keys.append("  \n")
+            if word.isalpha() and (latin or _LATIN.fullmatch(word)):
+                keys.append("  " + word if bare else word)
+                if len(word) < len(line):
+                    keys.append("  " + line[len(word) :])
+            else:
+                found = self._pattern.findall(line if bare else " " + line)
+                keys += [p[1:] if p[0] == " " and p[1:].isalpha() else "  " + p for p in found]
+        return keys
 
     def _learn(self) -> None:
         """Remembers the ids of the keys that were looked up for the first time."""
@@ -123,13 +136,13 @@ class ByteBpe:
             if word.isalpha() and (latin or _LATIN.fullmatch(word)):
                 keys = [word, "  " + key[len(word) :]]
             else:
-                piece, led = (key[1:], key[1:]) if first else (key, " " + key)
-                keys = self._parts(piece, led)
+                piece = key[1:] if first else key
+                keys = self._parts(piece, first, latin)
                 if keys is None:
                     continue
                 if not latin and not _LATIN.fullmatch(piece):
                     others.append(n)
-                    other_ids.append(self._whole(led))
+                    other_ids.append(self._whole(piece if first else " " + piece))
                     continue
             parts += map(number, keys)
             made.append(n)
