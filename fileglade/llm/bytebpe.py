@@ -13,8 +13,8 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-#: Pieces (and ids of pieces) in the memo at most, and pieces kept when it is full: the most used.
-MEMO, MEMO_IDS, KEPT = 800_000, 5_000_000, 300_000
+#: Pieces, their ids and characters in the memo after a group of texts, and pieces kept when it is full: the most used.
+MEMO, MEMO_IDS, MEMO_CHARS, KEPT = 800_000, 5_000_000, 16_000_000, 300_000
 #: Characters of texts that are looked up at a time; pieces gathered at a time; pretokens in a call of the model.
 GROUP, BLOCK, CALL = 8_000_000, 1 << 17, 256
 _PUNCTUATION = ".,!?*#$%&;:"
@@ -76,6 +76,7 @@ class ByteBpe:
         self._starts, self._lengths, self._ids = starts, lengths, ids
         self._used = np.zeros(len(keys), np.int64)
         self._known, self._held = len(keys), len(ids)  # the arrays have room for more
+        self._chars = sum(map(len, keys))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -148,6 +149,7 @@ class ByteBpe:
             made.append(n)
             counts.append(len(keys))
         self._numbers.fresh = []
+        self._chars += sum(map(len, fresh))
         self._grow(len(fresh))
         self._put(own, *self._model_ids(pretokens))
         if others:
@@ -175,12 +177,13 @@ class ByteBpe:
         self._held = end
 
     def _forget(self) -> None:
-        """Keeps the most used pieces, as far as their ids take half of the room."""
+        """Keeps the most used pieces, as far as their ids and characters take half of the room."""
         kept = np.argsort(-self._used[: self._known], kind="stable")[:KEPT]
         lengths = self._lengths[kept]
         ends = np.cumsum(np.maximum(lengths, 0))
-        fit = int(np.searchsorted(ends, MEMO_IDS // 2, side="right"))
         keys = list(self._numbers)
+        chars = np.cumsum([len(keys[i]) for i in kept.tolist()])
+        fit = int(min(np.searchsorted(ends, MEMO_IDS // 2, "right"), np.searchsorted(chars, MEMO_CHARS // 2, "right")))
         ids = self._gather(kept[:fit])
         starts = (ends - np.maximum(lengths, 0))[:fit]
         self._remember([keys[i] for i in kept[:fit].tolist()], starts, lengths[:fit], ids)
@@ -209,7 +212,7 @@ class ByteBpe:
         numbers[first[:-1]] = self._looked_up([" " + text.partition(" ")[0] for text in texts])
         lengths = self._lengths[numbers]
         ids = np.concatenate([self._gather(numbers[i : i + BLOCK]) for i in range(0, len(numbers), BLOCK)])
-        if self._known > MEMO or self._held > MEMO_IDS:
+        if self._known > MEMO or self._held > MEMO_IDS or self._chars > MEMO_CHARS:
             self._forget()
         unsafe = np.logical_or.reduceat(lengths < 0, first[:-1]).tolist()
         ends = np.cumsum(np.maximum(lengths, 0))[first[1:] - 1].tolist()

@@ -69,6 +69,16 @@ def test_byte_ids_of_many_texts(monkeypatch):
         assert list(own.encode_all([])) == []
 
 
+def test_long_pieces_do_not_fill_the_memo(monkeypatch):
+    monkeypatch.setattr(bytebpe, "GROUP", 1000)
+    monkeypatch.setattr(bytebpe, "MEMO_CHARS", 4000)
+    own = bytebpe.ByteBpe(bytebpe.default_path())
+    texts = [f"row {i}\t" * 40 + "\tend" for i in range(40)] + ["a,b;" * 200 + f"{i} c" for i in range(40)]
+    expected = [own._library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(i).cast("I")) for i in own.encode_all(texts)] == expected
+    assert sum(map(len, own._numbers)) == own._chars <= 4000
+
+
 def test_new_words_reach_the_model_once_and_together():
     own = bytebpe.ByteBpe(bytebpe.default_path())
     calls = []
