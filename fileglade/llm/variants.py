@@ -27,6 +27,9 @@ No pair outside a shared pivot is formed, and a bigram's join key carries its po
 word's length, so a common bigram does not put its words in one task. Roots are found by pointer
 jumping; forms have at least ``ratio`` times the count, so chains are short and never cycle.
 
+Only the counts of the bigrams are broadcast: whatever grows with the words meets by a shuffle
+and never passes the driver.
+
 Edge cases: an empty table or one without words gives no rows; repeated documents count again;
 very long texts and runs are read whole; extra input columns are not carried.
 """
@@ -36,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileglade.llm.common import materialised, salted_join
+from fileglade.llm.common import materialised
 
 __all__ = ["grouped", "words"]
 
@@ -94,6 +97,15 @@ def _pivots(prefix: Column) -> Column:
     return F.array(best["first"], best["second"])
 
 
+def _by_key(frame: DataFrame) -> DataFrame:
+    """A side of a join that must meet the other by a sort-merge join.
+
+    Spark guesses a side's size from its compressed files, and counts an exploded row as one, so
+    it may broadcast through the driver what is many times its threshold.
+    """
+    return frame.hint("merge")
+
+
 def _near_pairs(counted: DataFrame, spark) -> DataFrame:
     """(a, b) with a < b: every pair of words one edit apart."""
     grams = counted.select(
@@ -134,7 +146,7 @@ def _near_pairs(counted: DataFrame, spark) -> DataFrame:
     later = (F.col("r_freq") > F.col("s_freq")) | (
         (F.col("r_freq") == F.col("s_freq")) & (F.col("r_gram") >= F.col("s_gram"))
     )
-    met = probes.join(index, ["gram", "r_pos", "r_len"]).where((F.col("s") != F.col("r")) & later)
+    met = probes.join(_by_key(index), ["gram", "r_pos", "r_len"]).where((F.col("s") != F.col("r")) & later)
     pairs = met.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
     return pairs.where(F.levenshtein("a", "b", 1) == 1)
 
@@ -155,11 +167,11 @@ def grouped(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"))
     )
     others = counted.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    linked = ends.join(others, "other").groupBy("word").agg(
+    linked = ends.join(_by_key(others), "other").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"),
         F.min(F.struct((-F.col("other_n")).alias("k"), F.col("other").alias("o"))).alias("top"),
     )
-    table = counted.join(linked, "word", "left").select(
+    table = counted.join(_by_key(linked), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(-F.col("top.k") >= ratio * F.col("n"), F.col("top.o")).alias("form"),
         F.when(-F.col("top.k") >= ratio * F.col("n"), -F.col("top.k")).cast("long").alias("form_n"),
@@ -167,17 +179,20 @@ def grouped(
     table = materialised(table, spark)
     root = _roots(table.where(F.col("form").isNotNull()).select("word", F.col("form").alias("up")), spark)
     return (
-        table.join(root, "word", "left")
+        table.join(_by_key(root), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     )
 
 
 def _roots(edges: DataFrame, spark) -> DataFrame:
-    """word, root: the last word on each chain of forms, by pointer jumping."""
+    """word, root: the last word on each chain of forms, by pointer jumping.
+
+    A word has few near words and chains are short, so no ``up`` has many rows.
+    """
     current = materialised(edges, spark)
     while True:
-        step = current.select(F.col("word").alias("__at"), F.col("up").alias("__next"))
-        jumped = salted_join(current, step.withColumnRenamed("__at", "up"), ["up"], F.xxhash64("word"))
+        step = current.select(F.col("word").alias("up"), F.col("up").alias("__next"))
+        jumped = current.join(_by_key(step), "up", "left")
         moved = jumped.select("word", F.coalesce("__next", "up").alias("up"), F.col("__next").isNotNull().alias("m"))
         moved = materialised(moved, spark)
         if not moved.where("m").limit(1).count():

@@ -66,3 +66,30 @@ def test_empty_and_argument(spark):
     assert variants.grouped(empty).count() == 0
     with pytest.raises(ValueError):
         variants.grouped(empty, min_length=3)
+
+
+def test_only_bigram_counts_are_broadcast(spark, monkeypatch):
+    rows = [(i, "spelling spellling spelling spelling spelling spelling spelling") for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = []
+
+    def kept(frame, session, write=variants.materialised):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, session)
+
+    monkeypatch.setattr(variants, "materialised", kept)
+    result = variants.grouped(frame)
+    result.collect()
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    joins = [line for text in plans for line in text.splitlines() if "Join" in line]
+    sent = [line for line in joins if "BroadcastHashJoin" in line]
+    assert len(sent) == 1 and "[gram#" in sent[0]
+    assert len(joins) > 5 and all("SortMergeJoin" in line for line in joins if line not in sent)
+
+
+def test_roots_of_a_chain_and_a_hub(spark):
+    chain = [(f"w{i}", f"w{i + 1}") for i in range(11)]
+    hub = [(f"v{i}", "w3") for i in range(300)]
+    edges = spark.createDataFrame(chain + hub, "word string, up string")
+    got = {tuple(r) for r in variants._roots(edges, spark).collect()}
+    assert got == {(word, "w11") for word, _ in chain + hub}
